@@ -10,6 +10,11 @@ BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when the table is counted to be small; otherwise leave the join to Spark."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def attach(df: DataFrame, dictionary: DataFrame, key: str, dictionary_rows: int) -> DataFrame:
     """Left join ``dictionary(key, ...)``, unique in ``key``.
 

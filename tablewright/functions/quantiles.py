@@ -160,3 +160,56 @@ def _combine(n: int, p: float, method: str, value_of):
     low, high = float(low), float(value_of(ranks[1]))
     share = (n - 1) * p - ranks[0]
     return low if share == 0 else low + (high - low) * share
+
+
+MAX_GROUP_ROWS = 2_000_000
+HOT_BATCH = 20
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
+                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Linear quantiles of a double column per group, as columns q0, q1, ... beside the keys and ``n``.
+
+    A grouped ``percentile`` holds a group's values in one task, which is right for
+    groups up to ``max_group_rows``. Larger groups, few by nature, are searched by
+    rank over the whole cluster instead.
+    """
+    sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("n"))
+    hot = [r for r in sizes.filter(F.col("n") > max_group_rows).collect()]
+    usual = df
+    for row in hot:
+        usual = usual.filter(~_in_group(keys, row))
+    marks = F.percentile(col(value), F.array(*[F.lit(p) for p in probs])).alias("__marks")
+    out = usual.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("n"), marks)
+    out = out.select(*[col(k) for k in keys], "n", *[F.get("__marks", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
+    if not hot:
+        return out
+    found = []
+    for start in range(0, len(hot), HOT_BATCH):
+        found += _hot_quantiles(df, keys, value, probs, hot[start:start + HOT_BATCH])
+    return out.unionByName(df.sparkSession.createDataFrame(found, out.schema))
+
+
+def _in_group(keys: list[str], row) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & col(k).eqNullSafe(F.lit(row[k]))
+    return same
+
+
+def _hot_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], rows: list) -> list[tuple]:
+    requests = []
+    for row in rows:
+        inside = F.when(_in_group(keys, row), col(value))
+        for p in probs:
+            requests += [(inside, row["n"], r) for r in _ranks(row["n"], p, "linear")]
+    values = iter(values_at_ranks(df, requests))
+    out = []
+    for row in rows:
+        marks = []
+        for p in probs:
+            low, high = _ranks(row["n"], p, "linear")
+            pair = {low: next(values), high: next(values)}
+            marks.append(_combine(row["n"], p, "linear", pair.__getitem__))
+        out.append((*[row[k] for k in keys], row["n"], *marks))
+    return out

@@ -14,23 +14,31 @@ def row_hash(df: DataFrame, seed: int, key: list[str] | None = None) -> Column:
     return F.xxhash64(F.lit(seed), *[col(c) for c in (key or df.columns)])
 
 
-def sample_exactly(df: DataFrame, wanted: int, seed: int, rows: int, key: list[str] | None = None) -> DataFrame:
-    """The ``wanted`` rows with the smallest hashes.
+def split_exactly(df: DataFrame, wanted: int, seed: int, rows: int,
+                  key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``wanted`` rows with the smallest hashes, and the others.
 
-    The cut-off is an order statistic of the hashes, so a large sample is a filter
-    and not a sort. Only rows tied with the cut-off (copies of each other, unless
-    hashes collide) go through a limit.
+    The cut-off is an order statistic of the hashes, so a large part is a filter and
+    not a sort. Rows tied with the cut-off are copies of each other (hash collisions
+    aside), so a limit shares them out. ``key`` may name columns that identify a row.
     """
     if wanted <= 0:
-        return df.limit(0)
+        return df.limit(0), df
     if wanted >= rows:
-        return df
+        return df, df.limit(0)
     hashed = df.withColumn(HASH, row_hash(df, seed, key))
-    cutoff = values_at_ranks(hashed, [(F.col(HASH), rows, wanted - 1)])[0]
-    below = F.col(HASH) < cutoff
-    at = F.col(HASH) == cutoff
-    sizes = hashed.agg(F.count_if(below).alias("below"), F.count_if(at).alias("at")).first()
-    if sizes["below"] + sizes["at"] == wanted:
-        return hashed.filter(below | at).drop(HASH)
-    ties = hashed.filter(at).limit(wanted - sizes["below"])
-    return hashed.filter(below).unionByName(ties).drop(HASH)
+    h = F.col(HASH)
+    cutoff = values_at_ranks(hashed, [(h, rows, wanted - 1)])[0]
+    sizes = hashed.agg(F.count_if(h < cutoff).alias("below"), F.count_if(h == cutoff).alias("tied")).first()
+    taken = wanted - sizes["below"]
+    if taken == sizes["tied"]:
+        return hashed.filter(h <= cutoff).drop(HASH), hashed.filter(h > cutoff).drop(HASH)
+    tied = hashed.filter(h == cutoff)
+    first = hashed.filter(h < cutoff).unionByName(tied.limit(taken))
+    rest = hashed.filter(h > cutoff).unionByName(tied.limit(sizes["tied"] - taken))
+    return first.drop(HASH), rest.drop(HASH)
+
+
+def sample_exactly(df: DataFrame, wanted: int, seed: int, rows: int, key: list[str] | None = None) -> DataFrame:
+    """The ``wanted`` rows with the smallest hashes."""
+    return split_exactly(df, wanted, seed, rows, key)[0]

@@ -3,7 +3,7 @@
 A rank is narrowed to an open value interval by mergeable sketches
 (``approx_percentile``); plain conditional counts then say which side the rank
 lies on, so the answer is exact whatever the sketch error. Once few rows remain
-inside the interval, ``percentile_disc`` over just those rows finishes. Every
+inside the interval, picking among just those finishes. Every
 round is one aggregate for all columns and ranks together.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .columns import col
 
@@ -34,6 +34,7 @@ class _Search:
     high: object = None
     answer: object = None
     done: bool = False
+    stuck: bool = False
 
     def inside(self) -> Column:
         keep = self.value.isNotNull()
@@ -43,6 +44,22 @@ class _Search:
             keep = keep & (self.value < F.lit(self.high))
         return F.when(keep, self.value)
 
+    def pivots(self, sketched: list) -> tuple | None:
+        """Two cut values strictly inside the interval, or ``None`` when there are none to be found.
+
+        Sketches work in doubles, so for large whole numbers they may miss a narrow
+        interval; the middle of the interval then serves.
+        """
+        good = [v for v in sketched if (self.low is None or v > self.low) and (self.high is None or v < self.high)]
+        if good:
+            return good[0], good[-1]
+        if all(isinstance(v, int) for v in sketched):
+            low = -2**63 - 1 if self.low is None else self.low
+            high = 2**63 if self.high is None else self.high
+            if high - low > 1:
+                return ((low + high) // 2,) * 2
+        return None
+
     def settle(self, pivots, counts) -> None:
         """Move to the part of the interval that holds the rank."""
         a, b = pivots
@@ -73,21 +90,28 @@ def values_at_ranks(df: DataFrame, wanted: list[tuple[Column, int, int]],
     for s in searches:
         if not 0 <= s.rank < s.rows:
             s.done = True
-    while True:
-        wide = [s for s in searches if not s.done and s.rows > max_interior]
-        if not wide:
-            break
+    while wide := [s for s in searches if not s.done and s.rows > max_interior and not s.stuck]:
         _narrow(df, wide)
     last = [s for s in searches if not s.done]
     if last:
         narrow = df.select(*[s.inside().alias(f"v{i}") for i, s in enumerate(last)])
-        row = narrow.agg(*[F.expr(f"percentile_disc({(s.rank + 0.5) / s.rows!r}D) WITHIN GROUP (ORDER BY v{i})")
-                           .alias(f"v{i}") for i, s in enumerate(last)]).first()
+        row = narrow.agg(*[_pick(narrow, i, s).alias(f"v{i}") for i, s in enumerate(last)]).first()
         for i, s in enumerate(last):
             s.answer, s.done = row[f"v{i}"], True
     return [s.answer for s in searches]
 
 
+def _pick(narrow: DataFrame, i: int, s: _Search) -> Column:
+    """The value at the rank among the few left inside the interval.
+
+    ``percentile_disc`` counts repeated values but answers in doubles, so other types
+    are sorted as they are.
+    """
+    if isinstance(narrow.schema[f"v{i}"].dataType, (T.DoubleType, T.FloatType)):
+        return F.expr(f"percentile_disc({(s.rank + 0.5) / s.rows!r}D) WITHIN GROUP (ORDER BY v{i})")
+    return F.get(F.array_sort(F.collect_list(f"v{i}")), F.lit(s.rank))
+
+
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     slack = 2.0 / SKETCH_ACCURACY
     sketches = []
@@ -96,16 +120,22 @@ def _narrow(df: DataFrame, searches: list[_Search]) -> None:
         probes = [max(0.0, p - slack), min(1.0, p + slack)]
         sketches.append(F.percentile_approx(s.inside(), probes, SKETCH_ACCURACY).alias(f"p{i}"))
     found = df.agg(*sketches).first()
+    cuts = {i: s.pivots(found[f"p{i}"]) for i, s in enumerate(searches)}
     counts = []
     for i, s in enumerate(searches):
-        a, b = found[f"p{i}"]
+        if cuts[i] is None:
+            s.stuck = True
+            continue
+        a, b = cuts[i]
         v = s.inside()
-        tests = [v < F.lit(a), v == F.lit(a), (v > F.lit(a)) & (v < F.lit(b)),
-                 (v == F.lit(b)) & F.lit(a != b)]
+        tests = [v < F.lit(a), v == F.lit(a), (v > F.lit(a)) & (v < F.lit(b)), (v == F.lit(b)) & F.lit(a != b)]
         counts += [F.count_if(t).alias(f"c{i}_{j}") for j, t in enumerate(tests)]
+    if not counts:
+        return
     tally = df.agg(*counts).first()
     for i, s in enumerate(searches):
-        s.settle(found[f"p{i}"], [tally[f"c{i}_{j}"] for j in range(4)])
+        if cuts[i] is not None:
+            s.settle(cuts[i], [tally[f"c{i}_{j}"] for j in range(4)])
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],

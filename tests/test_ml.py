@@ -1,0 +1,159 @@
+"""Learners against closed forms and brute force."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright import ml
+from tablewright.ml.dbscan import dbscan
+from tablewright.ml.models import assemble
+from tablewright.ml.neighbors import nearest
+
+
+def brute_dbscan(x, eps, least):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
+    core = near.sum(1) >= least
+    label, number = np.full(len(x), -1), 0
+    for i in range(len(x)):
+        if not core[i] or label[i] != -1:
+            continue
+        stack = [i]
+        label[i] = number
+        while stack:
+            for j in np.nonzero(near[stack.pop()] & (label == -1))[0]:
+                label[j] = number
+                if core[j]:
+                    stack.append(j)
+        number += 1
+    return label, core
+
+
+@pytest.mark.parametrize("eps,least,d", [(0.3, 4, 2), (0.08, 3, 2), (1.0, 8, 2), (0.4, 5, 3), (0.05, 2, 1)])
+def test_dbscan_equals_brute_force(spark, eps, least, d):
+    rng = np.random.default_rng(d * 7 + least)
+    x = np.concatenate([rng.normal(c, 0.25, (60, d)) for c in (0, 1.2, 3)] + [rng.uniform(-2, 5, (25, d)), np.zeros((30, d))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>").repartition(4)
+    found = {r["id"]: (r["prediction"], r["core"]) for r in dbscan(df, {"eps": eps, "min_samples": least}).collect()}
+    label, core = brute_dbscan(x, eps, least)
+    assert found == {i: (int(label[i]), bool(core[i])) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("p,chunk", [(2.0, 50), (1.0, 10_000), (math.inf, 30), (3.0, 40)])
+def test_neighbors_equal_brute_force(spark, p, chunk):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(300, 3)), rng.normal(size=(70, 3))
+    a[:100] = 0.5  # a hot point
+
+    def frame(x):
+        return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>").repartition(3)
+    got = {(r["query"], r["rank"]): r["neighbor"] for r in nearest(frame(a), frame(b), 6, p, chunk_rows=chunk).collect()}
+    gap = np.abs(b[:, None] - a[None])
+    d = gap.max(-1) if math.isinf(p) else (gap ** p).sum(-1) ** (1 / p)
+    best = np.argsort(d, axis=1, kind="stable")[:, :6]
+    assert got == {(i, r + 1): int(best[i, r]) for i in range(70) for r in range(6)}
+
+
+def test_knn_with_copies_and_distance_weights(spark):
+    rows = [(0.0, 1.0), (0.0, 3.0), (0.0, 3.0), (4.0, 9.0), (10.0, 5.0)]
+    df = assemble(spark.createDataFrame(rows, "x double, y double"), ["x"], "y").select("features", "label")
+    model = ml.fit_model("knn-regressor", df, {"n_neighbors": 3, "weights": "distance"})
+    asked = spark.createDataFrame([(1.0,), (1.0,), (4.0,), (0.0,)], "x double")
+    out = sorted((r["x"], round(r["prediction"], 6)) for r in model.transform(assemble(asked, ["x"])).collect())
+    assert out == [(0.0, round(7 / 3, 6)), (1.0, round(7 / 3, 6)), (1.0, round(7 / 3, 6)), (4.0, 9.0)]
+
+
+def test_split_sizes_are_exact_and_stable(spark):
+    df = spark.range(101).withColumn("c", F.col("id") % 2)
+    a, b = ml.split_rows(df, 0.2, seed=1)
+    assert (a.count(), b.count()) == (80, 21)
+    again = ml.split_rows(df.repartition(9), 0.2, seed=1)[1]
+    assert sorted(r["id"] for r in b.collect()) == sorted(r["id"] for r in again.collect())
+    small, _ = ml.split_rows(df, 0.2, train_size=0.5, seed=1)
+    assert small.count() == 50
+    copies = spark.range(10).select(F.lit(1).alias("same"))
+    assert [x.count() for x in ml.split_rows(copies, 0.3)] == [7, 3]
+    a, b = ml.split_rows(df, 0.2, shuffle=False, order_by="id")
+    assert sorted(r["id"] for r in b.collect()) == list(range(80, 101))
+
+
+def test_prepare_fills_from_training_rows(spark):
+    df = spark.range(50).select("id", F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("x"),
+                                F.when(F.col("id") % 4 > 0, F.concat(F.lit("w"), F.col("id") % 3)).alias("w"),
+                                F.when(F.col("id") != 7, F.col("id") * 2.0).alias("y"))
+    ready = ml.prepare(df, "y", ["id"], test_size=0.2)
+    assert ready.features == ["x", "w_w1", "w_w2"] and ready.train.count() + ready.test.count() == 49
+    assert ready.train.filter("x IS NULL OR w_w1 IS NULL").count() == 0
+    mean = df.filter("y IS NOT NULL").agg(F.avg("x")).first()[0]
+    assert ml.prepare(df, "y", ["id"], leaky=True).rules.numeric["x"] == pytest.approx(mean)
+    assert ready.rules.numeric["x"] != pytest.approx(mean)
+
+
+def test_logistic_regression_meets_its_optimum(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (x @ [1.5, -1.0] + rng.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
+    rows = assemble(df, ["a", "b"], "y").select("features", "label")
+    model = ml.fit_model("logistic-regression", rows, {"C": 0.5, "tol": 1e-10, "max_iter": 500})
+    w, b = np.array(model.coefficients), model.intercept
+    miss = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert np.allclose(w + 0.5 * (x.T @ miss), 0, atol=1e-3) and abs(miss.sum()) < 1e-3
+
+
+@pytest.mark.parametrize("name,params", [("adaboost-classifier", {"n_estimators": 12}), ("xgboost-classifier", {"n_estimators": 3}),
+                                         ("svm-classifier", {"max_iter": 30}), ("random-forest-classifier", {"n_estimators": 5, "max_depth": 4})])
+def test_classifiers_learn_three_classes(spark, name, params):
+    df = spark.range(240).select(((F.col("id") % 3) * 3 + F.sin("id")).alias("x"), F.cos("id").alias("z"), (F.col("id") % 3).cast("int").alias("y"))
+    found = ml.train(df, name, "y", params=params, stratify="y").metrics.first()
+    assert found["accuracy"] > 0.6
+
+
+@pytest.mark.parametrize("loss", ["linear", "square", "exponential"])
+def test_boosted_regression_beats_one_tree(spark, loss):
+    df = spark.range(400).select((F.col("id") / 40.0).alias("x"), F.sin(F.col("id") / 40.0).alias("y"))
+    rows = assemble(df, ["x"], "y").select("features", "label")
+
+    def error(name, params):
+        return ml.regression_metrics(ml.fit_model(name, rows, params).transform(rows)).first()["rmse"]
+    one = error("decision-tree-regressor", {"max_depth": 2})
+    assert error("adaboost-regressor", {"n_estimators": 12, "max_depth": 2, "loss": loss}) < one
+
+
+def test_refused_options(spark):
+    df = assemble(spark.range(5).select(F.col("id").cast("double").alias("x"), "id"), ["x"], "id").select("features", "label")
+    for name, params in (("svm-classifier", {"kernel": "rbf"}), ("linear-regression", {"positive": True}), ("nothing", {}),
+                         ("gradient-boosting-regressor", {"loss": "huber"}), ("knn-classifier", {"weights": "odd"})):
+        with pytest.raises(ValueError):
+            ml.fit_model(name, df, params)
+
+
+def test_metrics_edges(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "label double, prediction double")
+    assert ml.regression_metrics(df).first()["r2"] == 1.0
+    cells = spark.createDataFrame([(0, 1), (0, 0), (2, 0)], "label int, prediction int")
+    assert [r["count"] for r in ml.confusion_matrix(cells).collect()] == [1, 1, 0, 0, 0, 0, 1, 0, 0]
+    found = ml.classification_metrics(cells).first()
+    assert found["accuracy"] == pytest.approx(1 / 3) and found["precision"] == pytest.approx(1 / 3)
+
+
+def test_kmeans_and_dbscan_through_train(spark):
+    df = spark.range(90).select("id", ((F.col("id") % 3) * 10 + F.sin("id")).alias("x"), ((F.col("id") % 3) * 10 + F.cos("id")).alias("y"))
+    k = ml.train(df, "kmeans", excluded=["id"], params={"n_clusters": 3}).metrics.first()
+    assert k["clusters"] == 3 and k["silhouette"] > 0.8 and k["inertia"] == pytest.approx(90, rel=0.1)
+    d = ml.train(df, "dbscan", excluded=["id"], params={"eps": 1.5, "min_samples": 4, "id": "id"}).metrics.first()
+    assert d["clusters"] == 3
+
+
+def test_run_history(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert ml.read_runs(spark, path).count() == 0
+    assert ml.append_run(spark, path, "kmeans", {"k": 2}, {"silhouette": 0.4, "inertia": 9.0}) == 1
+    assert ml.append_run(spark, path, "kmeans", {"k": 3}, {"silhouette": 0.7, "inertia": None}) == 2
+    assert ml.append_run(spark, path, "dbscan", {}, {"silhouette": 0.1, "inertia": 3.0}) == 3
+    best = {r["metric"]: r["run_id"] for r in ml.best_runs(ml.read_runs(spark, path)).collect()}
+    assert best == {"silhouette": 2, "inertia": 3}
+    ml.delete_run(spark, path, 3)
+    assert {r["run_id"]: r["active"] for r in ml.read_runs(spark, path).collect()} == {1: False, 2: True}
+    assert ml.append_run(spark, path, "dbscan", {}, {}) == 4

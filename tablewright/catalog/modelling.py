@@ -253,3 +253,69 @@ def _best(spark, sf_dir):
         F.avg(F.abs(off)).alias("mae"), (1 - F.avg(off * off) / F.var_pop("value")).alias("r2"))
     runs = runs.select("run_id", F.create_map(F.lit("mae"), "mae", F.lit("r2"), "r2").alias("metrics"))
     return rounded(best_runs(runs))
+
+
+# one tree with one split on a column whose every value is a bin has a closed form, whatever the ensemble around it
+
+_QUANTITY = "SELECT l_quantity, l_extendedprice * (1 + (l_quantity > 30)::INT) AS cost FROM lineitem"
+_SPARK_QUANTITY = "SELECT l_quantity, l_extendedprice * IF(l_quantity > 30, 2, 1) AS cost FROM lineitem"
+_SPLIT = f"""WITH t AS ({_QUANTITY}), g AS (SELECT l_quantity AS q, count(*) AS n, sum(cost) AS s FROM t GROUP BY 1),
+    c AS (SELECT q, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM g WINDOW w AS (ORDER BY q)),
+    b AS (SELECT * FROM c WHERE nl < n ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
+    SELECT DISTINCT l_quantity, round(CASE WHEN l_quantity <= q THEN sl / nl ELSE (s - sl) / (n - nl) END, 4) AS prediction FROM t, b"""
+
+
+def _first_split(name, algorithm, params):
+    def run(spark, sf_dir):
+        rows = assemble(source(spark, sf_dir, _SPARK_QUANTITY), ["l_quantity"], "cost")
+        model = fit_model(algorithm, rows.select("features", "label"), {"max_depth": 1, "max_bins": 64, **params})
+        return rounded(model.transform(rows).select("l_quantity", "prediction").distinct(), 4)
+    query(f"first_split_{name}", _SPLIT)(run)
+
+
+_first_split("decision_tree_regressor", "decision-tree-regressor", {})
+_first_split("random_forest_regressor", "random-forest-regressor", {"n_estimators": 1, "bootstrap": False})
+_first_split("gradient_boosting_regressor", "gradient-boosting-regressor", {"n_estimators": 1})
+_first_split("xgboost_regressor", "xgboost-regressor", {"n_estimators": 1})
+
+_MAJORITY = """WITH t AS (SELECT l_quantity, CASE WHEN (l_quantity > 30) <> (l_discount > 0.07) THEN 1 ELSE 0 END AS y FROM lineitem),
+    g AS (SELECT l_quantity AS q, count(*) AS n, sum(y) AS s FROM t GROUP BY 1),
+    c AS (SELECT q, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM g WINDOW w AS (ORDER BY q)),
+    b AS (SELECT * FROM c WHERE nl < n ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
+    SELECT DISTINCT l_quantity, CAST(CASE WHEN CASE WHEN l_quantity <= q THEN sl / nl ELSE (s - sl) / (n - nl) END > 0.5
+    THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM t, b"""
+_SPARK_MAJORITY = "SELECT l_quantity, IF((l_quantity > 30) <> (l_discount > 0.07), 1, 0) AS y FROM lineitem"
+
+
+def _first_vote(name, algorithm, params):
+    def run(spark, sf_dir):
+        rows = assemble(source(spark, sf_dir, _SPARK_MAJORITY), ["l_quantity"], "y")
+        model = fit_model(algorithm, rows.select("features", "label"), {"max_depth": 1, "max_bins": 64, **params})
+        return model.transform(rows).select("l_quantity", "prediction").distinct()
+    query(f"first_split_{name}", _MAJORITY)(run)
+
+
+_first_vote("decision_tree_classifier", "decision-tree-classifier", {})
+_first_vote("random_forest_classifier", "random-forest-classifier", {"n_estimators": 1, "bootstrap": False})
+_first_vote("xgboost_classifier", "xgboost-classifier", {"n_estimators": 1})
+_first_vote("adaboost_classifier", "adaboost-classifier", {"n_estimators": 1})
+
+
+@query("logistic_regression_closed_form", """WITH p AS (SELECT avg(CASE WHEN event_type = 'click' THEN (value > 50)::INT END) AS a,
+    avg(CASE WHEN event_type <> 'click' THEN (value > 50)::INT END) AS b FROM events)
+    SELECT round(ln(a / (1 - a)) - ln(b / (1 - b)), 4) AS slope, round(ln(b / (1 - b)), 4) AS intercept FROM p""")
+def _logistic_closed(spark, sf_dir):
+    df = source(spark, sf_dir, "SELECT IF(event_type = 'click', 1.0D, 0.0D) AS x, IF(value > 50, 1, 0) AS y FROM events")
+    rows = assemble(df, ["x"], "y").select("features", "label")
+    model = fit_model("logistic-regression", rows, {"penalty": None, "tol": 1e-12, "max_iter": 500})
+    return rounded(spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double"), 4)
+
+
+@query("kmeans_one_cluster", """SELECT round(avg(l_quantity), 5) AS quantity, round(avg(l_discount), 6) AS discount,
+    round(var_pop(l_quantity) * count(*) + var_pop(l_discount) * count(*), 2) AS inertia FROM lineitem""")
+def _one_cluster(spark, sf_dir):
+    rows = assemble(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"]).select("features")
+    model = fit_model("kmeans", rows, {"n_clusters": 1})
+    centre = model.clusterCenters()[0]
+    row = (round(float(centre[0]), 5), round(float(centre[1]), 6), round(float(model.summary.trainingCost), 2))
+    return spark.createDataFrame([row], "quantity double, discount double, inertia double")

@@ -146,9 +146,10 @@ def carried(ordered: Ordered, value: Column, name: str, backward: bool = False,
     edge = df.groupBy(BUCKET).agg(pick("__v", F.when(seen, F.col(KEY))).alias("__edge"))
     span = _earlier(reverse=backward)
     carry = edge.select(BUCKET, F.last("__edge", ignorenulls=True).over(span).alias("__carry"))
-    frame = (ordered.window().rowsBetween(0, Window.unboundedFollowing) if backward
-             else ordered.window().rowsBetween(Window.unboundedPreceding, 0))
-    near = (F.first if backward else F.last)("__v", ignorenulls=True).over(frame)
+    # a frame that grows row by row costs one step per row; one that shrinks is rescanned
+    order = F.desc(KEY) if backward else F.asc(KEY)
+    frame = Window.partitionBy(BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last("__v", ignorenulls=True).over(frame)
     # at most MAX_BUCKETS rows
     return (df.withColumn("__near", near).join(F.broadcast(carry), BUCKET)
             .withColumn(name, F.coalesce("__near", "__carry"))

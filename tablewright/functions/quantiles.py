@@ -114,13 +114,18 @@ def _pick(narrow: DataFrame, i: int, s: _Search) -> Column:
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     slack = 2.0 / SKETCH_ACCURACY
-    sketches = []
+    # searches in the same interval of the same column share a sketch, which is what costs
+    shared: dict[tuple, list[int]] = {}
     for i, s in enumerate(searches):
-        p = (s.rank + 0.5) / s.rows
-        probes = [max(0.0, p - slack), min(1.0, p + slack)]
-        sketches.append(F.percentile_approx(s.inside(), probes, SKETCH_ACCURACY).alias(f"p{i}"))
+        shared.setdefault((str(s.value), s.low, s.high), []).append(i)
+    sketches = []
+    for n, members in enumerate(shared.values()):
+        centres = [(searches[i].rank + 0.5) / searches[i].rows for i in members]
+        probes = [q for p in centres for q in (max(0.0, p - slack), min(1.0, p + slack))]
+        sketches.append(F.percentile_approx(searches[members[0]].inside(), probes, SKETCH_ACCURACY).alias(f"p{n}"))
     found = df.agg(*sketches).first()
-    cuts = {i: s.pivots(found[f"p{i}"]) for i, s in enumerate(searches)}
+    cuts = {i: searches[i].pivots(found[f"p{n}"][2 * j:2 * j + 2])
+            for n, members in enumerate(shared.values()) for j, i in enumerate(members)}
     counts = []
     for i, s in enumerate(searches):
         if cuts[i] is None:

@@ -311,11 +311,14 @@ def _logistic_closed(spark, sf_dir):
     return rounded(spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double"), 4)
 
 
-@query("kmeans_one_cluster", """SELECT round(avg(l_quantity), 5) AS quantity, round(avg(l_discount), 6) AS discount,
-    round(var_pop(l_quantity) * count(*) + var_pop(l_discount) * count(*), 2) AS inertia FROM lineitem""")
-def _one_cluster(spark, sf_dir):
-    rows = assemble(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"]).select("features")
-    model = fit_model("kmeans", rows, {"n_clusters": 1})
-    centre = model.clusterCenters()[0]
-    row = (round(float(centre[0]), 5), round(float(centre[1]), 6), round(float(model.summary.trainingCost), 2))
-    return spark.createDataFrame([row], "quantity double, discount double, inertia double")
+# two separate values are two clusters, each value its own centre
+
+@query("kmeans_two_values", """SELECT CASE WHEN l_quantity > 25 THEN 10.0 ELSE 0.0 END::DOUBLE AS centre, count(*) AS rows,
+    CAST(0 AS DOUBLE) AS inertia FROM lineitem GROUP BY 1""")
+def _two_values(spark, sf_dir):
+    df = source(spark, sf_dir, "SELECT IF(l_quantity > 25, 10.0D, 0.0D) AS x FROM lineitem")
+    model = fit_model("kmeans", assemble(df, ["x"]).select("features"), {"n_clusters": 2})
+    centres = F.array(*[F.lit(float(c[0])) for c in model.clusterCenters()])
+    placed = model.transform(assemble(df, ["x"])).select(F.round(F.get(centres, F.col("prediction")), 6).alias("centre"))
+    inertia = F.lit(round(float(model.summary.trainingCost), 6))
+    return placed.groupBy("centre").agg(F.count("*").alias("rows")).withColumn("inertia", inertia)

@@ -69,7 +69,8 @@ def boosted_regressor(train: DataFrame, params: dict) -> Committee:
         raise ValueError(f"unknown loss {loss!r}")
     data, trees, weights = settled(_start(train)), [], []
     for i in range(rounds):
-        tree = DecisionTreeRegressor(maxDepth=int(params.get("max_depth", DEPTH["regression"])), weightCol="weight", seed=i).fit(data)
+        tree = DecisionTreeRegressor(maxDepth=int(params.get("max_depth", DEPTH["regression"])), weightCol="weight",
+                                     maxBins=int(params.get("max_bins", 32)), seed=i).fit(data)
         scored = _scored(tree, data)
         error = F.abs(F.col("label") - F.col("prediction"))
         worst = scored.agg(F.max(error)).first()[0]
@@ -99,7 +100,8 @@ def boosted_classifier(train: DataFrame, params: dict) -> Committee:
     odds = math.log(max(1, len(classes) - 1))
     data, trees, weights = settled(_start(train)), [], []
     for i in range(rounds):
-        tree = DecisionTreeClassifier(maxDepth=int(params.get("max_depth", DEPTH["classification"])), weightCol="weight", seed=i).fit(data)
+        tree = DecisionTreeClassifier(maxDepth=int(params.get("max_depth", DEPTH["classification"])), weightCol="weight",
+                                     maxBins=int(params.get("max_bins", 32)), seed=i).fit(data)
         scored = _scored(tree, data)
         wrong = F.col("label") != F.col("prediction")
         row = scored.agg(F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)).alias("e"), F.sum("weight").alias("w")).first()

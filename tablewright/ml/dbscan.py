@@ -18,6 +18,7 @@ from ..functions.ordering import INDEX, bucketed, with_row_index
 
 MAX_DIMENSIONS, NOISE = 6, -1
 HOT_CELL_ROWS = 50_000
+FEW_PAIRS = 10_000_000
 
 
 def _squares(a: Column, b: Column) -> Column:
@@ -107,17 +108,28 @@ def _dense_edges(core: DataFrame, least: int, offsets: Column, eps: float, side:
     while True:
         boxes = _boxes(dense, open_pairs, scale)
         left = boxes.select(F.col("cell").alias("a"), F.col("parent").alias("sa"), F.col("sub").alias("ca"),
-                            F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+                            F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("n").alias("na"))
         right = boxes.select(F.col("cell").alias("b"), F.col("parent").alias("sb"), F.col("sub").alias("cb"),
-                             F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-        judged = open_pairs.join(left, ["a", "sa"]).join(right, ["b", "sb"]).select("a", "b", "ca", "cb", *_reach())
+                             F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("n").alias("nb"))
+        judged = open_pairs.join(left, ["a", "sa"]).join(right, ["b", "sb"]).select("a", "b", "ca", "cb", "na", "nb", *_reach())
         judged = settled(judged.filter(F.col("nearest") <= eps * eps))
         sure = judged.filter(F.col("farthest") <= eps * eps).select("a", "b").distinct()
         linked = sure if linked is None else linked.unionByName(sure)
-        open_pairs = judged.join(sure, ["a", "b"], "left_anti").select("a", "b", F.col("ca").alias("sa"), F.col("cb").alias("sb"))
-        if open_pairs.isEmpty():
-            return linked.distinct()
-        open_pairs, scale = settled(open_pairs), scale / 2
+        unsure = judged.join(sure, ["a", "b"], "left_anti")
+        work = unsure.agg(F.sum(F.col("na").cast("double") * F.col("nb"))).first()[0] or 0
+        open_pairs, scale = unsure.select("a", "b", F.col("ca").alias("sa"), F.col("cb").alias("sb")), scale / 2
+        if work <= FEW_PAIRS:
+            return linked.unionByName(_compared(dense, open_pairs, eps, scale)).distinct() if work else linked.distinct()
+        open_pairs = settled(open_pairs)
+
+
+def _compared(dense: DataFrame, open_pairs: DataFrame, eps: float, scale: float) -> DataFrame:
+    """Link cells by comparing the points of the sub-cells still open; their pairs were counted to be few."""
+    sub = dense.select("cell", "x", F.transform("x", lambda v: F.floor(v / F.lit(scale))).alias("sub"))
+    left = sub.select(F.col("cell").alias("a"), F.col("sub").alias("sa"), F.col("x"))
+    right = sub.select(F.col("cell").alias("b"), F.col("sub").alias("sb"), F.col("x").alias("y"))
+    near = open_pairs.join(left, ["a", "sa"]).join(right, ["b", "sb"])
+    return near.filter(_squares(F.col("x"), F.col("y")) <= F.lit(eps * eps)).select("a", "b").distinct()
 
 
 def _boxes(dense: DataFrame, open_pairs: DataFrame, scale: float) -> DataFrame:
@@ -127,6 +139,7 @@ def _boxes(dense: DataFrame, open_pairs: DataFrame, scale: float) -> DataFrame:
         "cell", "x", F.transform("x", lambda v: F.floor(v / F.lit(scale))).alias("parent"),
         F.transform("x", lambda v: F.floor(v / F.lit(scale / 2))).alias("sub"))
     return inside.groupBy("cell", "parent", "sub").agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.array_compact(F.array(*[pick(F.get("x", F.lit(i))) for i in range(MAX_DIMENSIONS)])).alias(n)
           for n, pick in (("lo", F.min), ("hi", F.max))])
 

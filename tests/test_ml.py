@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import ml
-from tablewright.ml.dbscan import dbscan
 from tablewright.ml.models import assemble
 from tablewright.ml.neighbors import nearest
 
@@ -30,12 +29,14 @@ def brute_dbscan(x, eps, least):
     return label, core
 
 
-@pytest.mark.parametrize("eps,least,d", [(0.3, 4, 2), (0.08, 3, 2), (1.0, 8, 2), (0.4, 5, 3), (0.05, 2, 1)])
-def test_dbscan_equals_brute_force(spark, eps, least, d):
+@pytest.mark.parametrize("eps,least,d,few", [(0.3, 4, 2, 10**7), (0.3, 4, 2, 0), (1.0, 8, 2, 50), (0.4, 5, 3, 10**7), (0.05, 2, 1, 0)])
+def test_dbscan_equals_brute_force(spark, monkeypatch, eps, least, d, few):
+    from tablewright.ml import dbscan as module
+    monkeypatch.setattr(module, "FEW_PAIRS", few)
     rng = np.random.default_rng(d * 7 + least)
     x = np.concatenate([rng.normal(c, 0.25, (60, d)) for c in (0, 1.2, 3)] + [rng.uniform(-2, 5, (25, d)), np.zeros((30, d))])
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>").repartition(4)
-    found = {r["id"]: (r["prediction"], r["core"]) for r in dbscan(df, {"eps": eps, "min_samples": least}).collect()}
+    found = {r["id"]: (r["prediction"], r["core"]) for r in module.dbscan(df, {"eps": eps, "min_samples": least}).collect()}
     label, core = brute_dbscan(x, eps, least)
     assert found == {i: (int(label[i]), bool(core[i])) for i in range(len(x))}
 
@@ -110,15 +111,48 @@ def test_classifiers_learn_three_classes(spark, name, params):
     assert found["accuracy"] > 0.6
 
 
+def stump(x, y, w):
+    """Weighted least-squares split at the middle between two values."""
+    best = None
+    for cut in (np.unique(x)[:-1] + np.unique(x)[1:]) / 2:
+        low = x <= cut
+        sides = [np.average(y[s], weights=w[s]) for s in (low, ~low)]
+        fit = np.where(low, *sides)
+        loss = (w * (y - fit) ** 2).sum()
+        if best is None or loss < best[0] - 1e-15:
+            best = loss, fit
+    return best[1]
+
+
 @pytest.mark.parametrize("loss", ["linear", "square", "exponential"])
-def test_boosted_regression_beats_one_tree(spark, loss):
-    df = spark.range(400).select((F.col("id") / 40.0).alias("x"), F.sin(F.col("id") / 40.0).alias("y"))
-    rows = assemble(df, ["x"], "y").select("features", "label")
-
-    def error(name, params):
-        return ml.regression_metrics(ml.fit_model(name, rows, params).transform(rows)).first()["rmse"]
-    one = error("decision-tree-regressor", {"max_depth": 2})
-    assert error("adaboost-regressor", {"n_estimators": 12, "max_depth": 2, "loss": loss}) < one
+def test_boosted_regression_equals_the_plain_algorithm(spark, loss):
+    x = np.arange(60) / 6.0
+    y = np.sin(x) + x / 5
+    w, fits, weights = np.full(60, 1 / 60), [], []
+    for _ in range(5):
+        fit = stump(x, y, w)
+        e = np.abs(y - fit) / np.abs(y - fit).max()
+        e = {"linear": e, "square": e ** 2, "exponential": 1 - np.exp(-e)}[loss]
+        average = (w * e).sum() / w.sum()
+        if average >= 0.5:  # worse than chance: dropped, unless it is all there is
+            if not fits:
+                fits, weights = [fit], [1.0]
+            break
+        beta = average / (1 - average)
+        fits.append(fit)
+        weights.append(math.log(1 / beta))
+        w = w * beta ** (1 - e)
+        w = w / w.sum()
+    order = np.argsort(np.array(fits), axis=0)
+    run = np.cumsum(np.array(weights)[order], axis=0)
+    pick = (run >= 0.5 * sum(weights)).argmax(axis=0)
+    want = np.array(fits)[order[pick, np.arange(60)], np.arange(60)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    rows = assemble(df, ["x"], "y")
+    model = ml.fit_model("adaboost-regressor", rows.select("features", "label"),
+                         {"n_estimators": 5, "max_depth": 1, "max_bins": 64, "loss": loss})
+    got = [r["prediction"] for r in model.transform(rows).orderBy("x").collect()]
+    assert np.allclose(got, want, atol=1e-8)
 
 
 def test_refused_options(spark):

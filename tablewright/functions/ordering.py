@@ -136,24 +136,26 @@ def with_row_index(ordered: Ordered, start: int = 0) -> DataFrame:
             .drop("__offset", "__local"))
 
 
-def carried(ordered: Ordered, value: Column, name: str, backward: bool = False,
-            df: DataFrame | None = None) -> DataFrame:
-    """Add the nearest non-null ``value`` at or before (after) each row as ``name``."""
-    df = ordered.df if df is None else df
-    df = df.withColumn("__v", value)
-    seen = F.col("__v").isNotNull()
-    pick = F.min_by if backward else F.max_by
-    edge = df.groupBy(BUCKET).agg(pick("__v", F.when(seen, F.col(KEY))).alias("__edge"))
-    span = _earlier(reverse=backward)
-    carry = edge.select(BUCKET, F.last("__edge", ignorenulls=True).over(span).alias("__carry"))
-    # a frame that grows row by row costs one step per row; one that shrinks is rescanned
-    order = F.desc(KEY) if backward else F.asc(KEY)
-    frame = Window.partitionBy(BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    near = F.last("__v", ignorenulls=True).over(frame)
+def carried(ordered: Ordered, value: Column, backward: dict[str, bool], df: DataFrame | None = None) -> DataFrame:
+    """Add the nearest non-null ``value`` at or before each row, or at or after it where ``backward``.
+
+    ``backward`` maps each new column to its direction; all share one summary of the buckets.
+    """
+    df = (ordered.df if df is None else df).withColumn("__v", value)
+    seen = F.when(F.col("__v").isNotNull(), F.col(KEY))
+    picks = {True: F.min_by, False: F.max_by}
+    edges = df.groupBy(BUCKET).agg(*[picks[back]("__v", seen).alias(f"__edge{i}") for i, back in enumerate(backward.values())])
+    carries = [F.last(f"__edge{i}", ignorenulls=True).over(_earlier(reverse=back)).alias(f"__carry{i}")
+               for i, back in enumerate(backward.values())]
     # at most MAX_BUCKETS rows
-    return (df.withColumn("__near", near).join(F.broadcast(carry), BUCKET)
-            .withColumn(name, F.coalesce("__near", "__carry"))
-            .drop("__v", "__near", "__carry"))
+    out = df.join(F.broadcast(edges.select(BUCKET, *carries)), BUCKET)
+    for i, (name, back) in enumerate(backward.items()):
+        # a frame that grows row by row costs one step per row; one that shrinks is rescanned
+        order = F.desc(KEY) if back else F.asc(KEY)
+        frame = Window.partitionBy(BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        near = F.last("__v", ignorenulls=True).over(frame)
+        out = out.withColumn(name, F.coalesce(near, F.col(f"__carry{i}")))
+    return out.drop("__v", *[f"__carry{i}" for i in range(len(backward))])
 
 
 def rolling(df: DataFrame, order_by, window: int, aggregates: dict[str, Column],

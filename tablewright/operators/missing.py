@@ -70,7 +70,7 @@ def _carry(df: DataFrame, params: dict, backward: bool) -> DataFrame:
     if name not in df.columns:
         return df
     ordered = bucketed(df, params.get("order_by"), [name])
-    return ordered.restore(carried(ordered, col(name), name, backward))
+    return ordered.restore(carried(ordered, col(name), {name: backward}))
 
 
 @table_step("interpolate")
@@ -81,8 +81,7 @@ def interpolate(df: DataFrame, params: dict) -> DataFrame:
         return df
     ordered = bucketed(df, params.get("order_by"), [name])
     known = F.when(col(name).isNotNull(), F.struct(col(name).cast("double").alias("v"), F.col(INDEX).alias("i")))
-    both = carried(ordered, known, "__before", df=with_row_index(ordered))
-    both = carried(ordered, known, "__after", backward=True, df=both)
+    both = carried(ordered, known, {"__before": False, "__after": True}, with_row_index(ordered))
     before, after = F.col("__before"), F.col("__after")
     share = F.try_divide((F.col(INDEX) - before["i"]).cast("double"), (after["i"] - before["i"]).cast("double"))
     line = before["v"] + (after["v"] - before["v"]) * share

@@ -28,13 +28,13 @@ def test_row_index_and_carry_over_buckets(spark, buckets):
     for i in range(500):
         last = held[i] if held[i] is not None else last
         down[i] = last
-    found = {r["id"]: r["v"] for r in ordering.carried(ordered, F.col("v"), "v").collect()}
+    found = {r["id"]: r["v"] for r in ordering.carried(ordered, F.col("v"), {"v": False}).collect()}
     assert found == down
     nxt, up = None, {}
     for i in reversed(range(500)):
         nxt = held[i] if held[i] is not None else nxt
         up[i] = nxt
-    found = {r["id"]: r["v"] for r in ordering.carried(ordered, F.col("v"), "v", backward=True).collect()}
+    found = {r["id"]: r["v"] for r in ordering.carried(ordered, F.col("v"), {"v": True}).collect()}
     assert found == up
 
 

@@ -11,6 +11,7 @@ from ..functions.columns import as_text, col, comparison_literal, data_type
 from ..functions.ordering import INDEX, bucketed, order_columns, with_row_index
 from ..functions.statistics import null_counts
 from ..plans.registry import row_step, table_step
+from .text import java_pattern
 
 _TESTS = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt}
 
@@ -22,7 +23,7 @@ def filter_rows(df: DataFrame, params: dict) -> DataFrame:
     if name not in df.columns or value is None:
         return df
     if op == "contains":
-        return df.filter(as_text(df, name).rlike(str(value)))
+        return df.filter(as_text(df, name).rlike(java_pattern(str(value))))
     if op not in _TESTS:
         return df
     return df.filter(_TESTS[op](col(name), comparison_literal(data_type(df, name), value)))

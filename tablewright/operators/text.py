@@ -47,16 +47,25 @@ def replace_substring(df: DataFrame, params: dict) -> DataFrame:
     return df.withColumn(name, F.when(at > 0, swapped).otherwise(text))
 
 
+def java_pattern(pattern: str) -> str:
+    """Named groups are written ``(?<name>...)`` here."""
+    return pattern.replace("(?P<", "(?<")
+
+
+def java_replacement(replacement: str) -> str:
+    """``$1`` and ``${1}`` are groups, ``$$`` a dollar sign, and a backslash is just that."""
+    text = replacement.replace("\\", "\\\\").replace("$$", "\\$")
+    return re.sub(r"\$\{(\d+)\}", r"$\1", text)
+
+
 def replace_first(text: Column, pattern: str, replacement: str) -> Column:
     """Replace only the first match.
 
-    The pattern is extended by a last group that takes the rest of the text, so one
+    The pattern is extended by a named group that takes the rest of the text, so one
     replacement covers everything and group numbers in the pattern stay as they are.
     """
-    rest = re.compile(pattern.replace("(?<", "(?P<") if "(?<" in pattern
-                      and "(?<=" not in pattern and "(?<!" not in pattern else pattern).groups + 1
-    java = re.sub(r"\$\{(\d+)\}", r"$\1", replacement)
-    return F.regexp_replace(text, F.lit(rf"(?:{pattern})([\s\S]*)\z"), F.lit(f"{java}${rest}"))
+    extended = rf"(?:{java_pattern(pattern)})(?<theRest>[\s\S]*)\z"
+    return F.regexp_replace(text, F.lit(extended), F.lit(java_replacement(replacement) + "${theRest}"))
 
 
 @row_step("regex_replace")
@@ -67,7 +76,7 @@ def regex_replace(df: DataFrame, params: dict) -> DataFrame:
         return df
     pattern, new, text = params.get("pattern", ""), params.get("replacement", ""), as_text(df, name)
     if params.get("all"):
-        return df.withColumn(name, F.regexp_replace(text, F.lit(pattern), F.lit(new)))
+        return df.withColumn(name, F.regexp_replace(text, F.lit(java_pattern(pattern)), F.lit(java_replacement(new))))
     return df.withColumn(name, replace_first(text, pattern, new))
 
 
@@ -87,7 +96,7 @@ def regex_extraction(df: DataFrame, params: dict) -> DataFrame:
     name, pattern, new = params.get("column"), params.get("pattern"), params.get("new_name")
     if name not in df.columns or not pattern or not new:
         return df
-    return df.withColumn(new, extract_first(as_text(df, name), pattern))
+    return df.withColumn(new, extract_first(as_text(df, name), java_pattern(pattern)))
 
 
 @row_step("extract_domain")

@@ -67,6 +67,8 @@ def test_text_steps(apply):
     assert one("abc", "replace_substring", old_val="", new_val="_") == "_abc"
     assert one("x12y34", "regex_replace", pattern=r"(\d)(\d)", replacement="$2${1}") == "x21y34"
     assert one("multi\nline 7\nend 8", "regex_replace", pattern=r"\d", replacement="#") == "multi\nline #\nend 8"
+    assert one("ab1", "regex_replace", pattern=r"(?P<w>\p{L})", replacement=r"\${w}$$") == "\\a$b1"
+    assert one("a.a", "regex_replace", pattern="a", replacement="$$1", all=True) == "$1.$1"
     assert one(None, "uppercase") is None
     assert one("Ab-9_é!", "remove_special_chars") == "Ab9"
 

@@ -10,12 +10,17 @@ one chunk block by block and hands on at most k rows per query row.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+# the small helpers below travel with the tasks, so executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_ROWS, QUERY_CHUNK_ROWS, MAX_PIVOTS, MAX_PROBES, BLOCK = 20_000, 20_000, 128, 1_000, 256
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _near_duplicates(spark, sf_dir):
     from .neardup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_contamination", sql="""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents),
+item AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS width,
+           array_to_string(w[i + 1:i + least(13, len(w))], ' ') AS part
+    FROM item, unnest(range(greatest(1, len(w) - 12))) AS r(i) WHERE len(w) > 0),
+widths AS (SELECT DISTINCT width FROM windows),
+places AS (
+    SELECT doc_id, i, width, array_to_string(w[i + 1:i + width], ' ') AS part
+    FROM doc, widths, unnest(range(greatest(0, len(w) - width + 1))) AS r(i)),
+found AS (SELECT doc_id, item_id, i, p.width FROM places p JOIN windows s ON p.part = s.part AND p.width = s.width),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS spot FROM found) GROUP BY doc_id),
+met AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)""")
+def _contamination(spark, sf_dir):
+    from .contamination import contamination, is_contaminated
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))

@@ -67,3 +67,11 @@ def _quality(spark, sf_dir):
     from .quality import held_out, quality
     scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_toxicity")
+def _toxicity(spark, sf_dir):
+    from .quality import held_out
+    from .toxicity import toxicity
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

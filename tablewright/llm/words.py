@@ -40,12 +40,17 @@ class Hasher:
             self.down = [powers(inverse(b), self.n) for b in BASES]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        return next(self.spans(data, [(starts, ends)], which))
+
+    def spans(self, data: np.ndarray, ranges, which: int = 0):
+        """Hashes of several lists of ranges over the same bytes."""
         self.grow(len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[which][:len(data)], out=total[1:])
-        h = (total[ends] - total[starts]) * self.down[which][starts]
-        h ^= h >> np.uint64(32)
-        return h * BASES[1 - which]
+        for starts, ends in ranges:
+            h = (total[ends] - total[starts]) * self.down[which][starts]
+            h ^= h >> np.uint64(32)
+            yield h * BASES[1 - which]
 
 
 class Block:

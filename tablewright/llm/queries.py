@@ -75,3 +75,11 @@ def _toxicity(spark, sf_dir):
     from .toxicity import toxicity
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_bpe")
+def _bpe(spark, sf_dir):
+    from .bpe import decoded_column, digest_column, encode
+    tokens = encode(table(spark, sf_dir, "documents"))
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), digest_column(F.col("tokens")).alias("ids_sha256"),
+                         F.sha2(decoded_column(F.col("tokens")), 256).alias("decoded_sha256"))

@@ -83,3 +83,46 @@ def _bpe(spark, sf_dir):
     tokens = encode(table(spark, sf_dir, "documents"))
     return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), digest_column(F.col("tokens")).alias("ids_sha256"),
                          F.sha2(decoded_column(F.col("tokens")), 256).alias("decoded_sha256"))
+
+
+#: the registered topology: 40 shards in 4 regions of 2 racks; the grown one has a fifth region for shard 40
+_DRAWS = """SELECT d.key, t.parent, t.child, t.node, -ln((CAST('0x' || substr(md5(d.key || '|' || t.node), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / t.weight AS draw
+            FROM (SELECT DISTINCT key FROM doc) d JOIN tree t ON t.level = {level} AND t.grown = {grown} {where}"""
+
+
+def _sharding_sql() -> str:
+    from .sharding import grown_by_one, topology, tree
+    base = topology(40, 4, 2)
+    rows = [(g, k, p, n, w, i) for g, shards in enumerate((base, grown_by_one(base))) for k, level in enumerate(tree(shards))
+            for p, children in enumerate(level) for n, w, i in children]
+    values = ", ".join(f"({g}, {k}, {p}, '{n}', {w}, {i})" for g, k, p, n, w, i in rows)
+    parts = []
+    for g in (0, 1):
+        for k in range(3):
+            where = f"JOIN l{g}{k - 1} u ON u.key = d.key AND u.child = t.parent" if k else ""
+            parts.append(f"l{g}{k} AS (SELECT key, arg_min(child, (draw, node)) AS child FROM ({_DRAWS.format(level=k, grown=g, where=where)}) GROUP BY key)")
+    return f"""
+WITH RECURSIVE doc AS (SELECT doc_id, text, coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+tree(grown, level, parent, node, weight, child) AS (VALUES {values}),
+{", ".join(parts)},
+step(n, c, k) AS (
+    SELECT n, n, 0 FROM range(256) AS r(n)
+    UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM (SELECT n, CAST(c AS BIGINT) AS c, k FROM step) WHERE k < 8),
+crc AS (SELECT list(CAST(c AS BIGINT) ORDER BY n) AS t FROM step WHERE k = 8),
+summed AS (
+    SELECT doc_id, key, text, strlen(coalesce(text, '')) + 16 AS size,
+           CASE WHEN text IS NOT NULL THEN xor(list_reduce(
+               list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+               lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INTEGER)])), 4294967295) END AS crc,
+           CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) % 1024 AS part
+    FROM doc, crc)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(b.child AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY b.child ORDER BY part, doc_id NULLS FIRST, size, crc NULLS FIRST) - 1 AS slot, CAST(g.child AS INTEGER) AS grown_shard
+FROM summed JOIN l02 b USING (key) JOIN l12 g USING (key)"""
+
+
+@query("op1_sharding", sql=_sharding_sql())
+def _sharding(spark, sf_dir):
+    from .sharding import grown_by_one, sharded, topology
+    base = topology(40, 4, 2)
+    return sharded(table(spark, sf_dir, "documents"), base, grown_by_one(base))

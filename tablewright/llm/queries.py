@@ -126,3 +126,15 @@ def _sharding(spark, sf_dir):
     from .sharding import grown_by_one, sharded, topology
     base = topology(40, 4, 2)
     return sharded(table(spark, sf_dir, "documents"), base, grown_by_one(base))
+
+
+@query("op4_token_counts")
+def _token_counts(spark, sf_dir):
+    from .lengths import token_counts
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_rules")
+def _quality_rules(spark, sf_dir):
+    from .rules import quality_rules
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

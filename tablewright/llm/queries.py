@@ -138,3 +138,29 @@ def _token_counts(spark, sf_dir):
 def _quality_rules(spark, sf_dir):
     from .rules import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _licenses_sql() -> str:
+    """Exact containment over all windows of the grid, without MinHash."""
+    from .licenses import TEMPLATES, TENTHS, read_templates
+    known = read_templates(TEMPLATES)
+    rows = ", ".join(f"({t.number}, '{t.license}', {len(t.shingles)}, {t.width}, {t.stride}, '{s}')" for t in known for s in t.shingles)
+    return f"""
+WITH t(template, license, n, width, stride, shingle) AS (VALUES {rows}),
+doc AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w
+        FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS shingle FROM doc, unnest(range(greatest(0, len(w) - 4))) AS r(i)),
+found AS (SELECT DISTINCT doc_id, template, license, n, k * stride AS start, shingle
+          FROM places JOIN t USING (shingle),
+               unnest(range(greatest(0, CAST(ceil((i + 5 - width) / stride) AS BIGINT)), i // stride + 1)) AS r(k)),
+held AS (SELECT doc_id, template, license, start, count(*) / n AS containment FROM found
+         GROUP BY doc_id, template, license, n, start HAVING count(*) * 10 >= n * {TENTHS})
+SELECT doc_id, license, CAST(template AS INTEGER) AS template, max(containment) AS containment,
+       CAST(arg_min(start, (-containment, start)) AS INTEGER) AS start
+FROM held GROUP BY doc_id, license, template"""
+
+
+@query("op10_licenses", sql=_licenses_sql())
+def _licenses(spark, sf_dir):
+    from .licenses import license_matches
+    return license_matches(table(spark, sf_dir, "documents"))

@@ -164,3 +164,9 @@ FROM held GROUP BY doc_id, license, template"""
 def _licenses(spark, sf_dir):
     from .licenses import license_matches
     return license_matches(table(spark, sf_dir, "documents"))
+
+
+@query("op9_secrets")
+def _secrets(spark, sf_dir):
+    from .credentials import secrets
+    return secrets(table(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .words import as_bytes, blocks
+from .words import portions
 
 #: bytes of text whose distinct pre-tokens travel together
 BLOCK_BYTES = 8 << 20
@@ -121,11 +121,10 @@ def _exploded(patterns: tuple[str, str, str], buckets: int):
     def exploded(batches):
         find, task, number = splitter(patterns), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for begin, end in blocks(texts, BLOCK_BYTES):
+            for begin, end, texts in portions(batch.column(1), BLOCK_BYTES):
                 place: dict[str, int] = {}
                 places, counts, digest = [], [], xxhash.xxh64()
-                for t in texts[begin:end]:
+                for t in texts:
                     found = find(t.decode())
                     places.append(np.array([place.setdefault(p, len(place)) for p in found], dtype="<u4"))
                     counts.append(len(found))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .store import stored
-from .words import Block, Hasher, as_bytes, blocks, packed_strings
+from .words import Block, Hasher, packed_strings, portions
 
 WINDOW = 13
 #: a word is hit when a window covers it; a text with hits in at least one of so many words is contaminated
@@ -57,9 +57,8 @@ def _listed(values) -> pa.Array:
 def _segments(batches):
     hasher, number = Hasher(), TaskContext.get().partitionId() << 33
     for batch in batches:
-        texts = as_bytes(batch.column(1))
-        for begin, end in blocks(texts, SEGMENT_BYTES):
-            parts = _segment(hasher, texts[begin:end])
+        for begin, end, texts in portions(batch.column(1), SEGMENT_BYTES):
+            parts = _segment(hasher, texts)
             ids = pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), batch.column(0).slice(begin, end - begin))
             yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *(_listed(x) for x in parts.values())],
                                              names=["segment", "ids", *parts])

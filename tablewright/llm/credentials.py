@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .store import stored
-from .words import Block, Hasher, as_bytes, blocks, packed_strings
+from .words import Block, Hasher, packed_strings, portions
 
 #: a candidate is a run of these characters with a digit and a letter, or anything assigned to a telling name
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
@@ -104,9 +104,8 @@ def described(text: str, start: int, stop: int, dictionary: set[str]) -> list[fl
 def _word_counts(batches):
     hasher = Hasher()
     for batch in batches:
-        texts = as_bytes(batch.column(0))
-        for begin, end in blocks(texts):
-            block = Block(texts[begin:end])
+        for _, _, texts in portions(batch.column(0)):
+            block = Block(texts)
             length = block.ends - block.starts
             some = (length >= 4) & (length <= 12)
             starts, ends = block.starts[some], block.ends[some]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .store import sampled_labels
-from .words import Hasher, as_bytes, blocks
+from .words import Hasher, portions
 
 BITS = 16
 WIDTH = 10
@@ -69,10 +69,9 @@ def _counted(batches):
     """Distinct feature buckets of each text with their counts; a text has at most ``2**BITS`` of them."""
     hasher = Hasher()
     for batch in batches:
-        texts = as_bytes(batch.column(1))
-        for begin, end in blocks(texts, BLOCK_BYTES):
+        for begin, end, texts in portions(batch.column(1), BLOCK_BYTES):
             docs, found = [], []
-            for buckets, counts in features(texts[begin:end], hasher):
+            for buckets, counts in features(texts, hasher):
                 docs.append(np.repeat(np.arange(end - begin), counts))
                 found.append(buckets)
             key = np.concatenate(docs) << BITS | np.concatenate(found)
@@ -153,9 +152,9 @@ def score_column(model: Model, text: Column) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     def scored(texts: pa.Array) -> pa.Array:
-        hasher, whole = Hasher(), as_bytes(texts)
-        return pa.array(np.concatenate([np.zeros(0), *(scores(shared.value, whole[a:b], hasher)
-                                                       for a, b in blocks(whole, BLOCK_BYTES))]))
+        hasher = Hasher()
+        return pa.array(np.concatenate([np.zeros(0), *(scores(shared.value, part, hasher)
+                                                       for _, _, part in portions(texts, BLOCK_BYTES))]))
     scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(scored, "double")(text)
 

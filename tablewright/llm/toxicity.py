@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .quality import held_out
 from .store import sampled_labels
-from .words import Block, Hasher, as_bytes, blocks
+from .words import Block, Hasher, portions
 
 #: bound of the labelled documents a model is fitted on; a larger labelled set is thinned by hash
 TRAINING_DOCUMENTS = 20_000
@@ -49,9 +49,9 @@ def _counts(labelled):
     def counted(batches):
         hasher, label_of = Hasher(), labelled.value
         for batch in batches:
-            texts, ids = as_bytes(batch.column(1)), batch.column(0).to_pylist()
-            for begin, end in blocks(texts):
-                block, hashes = _tokens(texts[begin:end], hasher)
+            ids = batch.column(0).to_pylist()
+            for begin, end, texts in portions(batch.column(1)):
+                block, hashes = _tokens(texts, hasher)
                 label = np.array([label_of[i] for i in ids[begin:end]], dtype=np.int64)
                 doc = np.repeat(np.arange(end - begin), np.diff(block.first))
                 for h in hashes:
@@ -71,9 +71,8 @@ def _corpus_counts(shared):
         hasher, wanted, n = Hasher(), shared.value, 0
         total = np.zeros(len(wanted), dtype=np.int64)
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for begin, end in blocks(texts):
-                _, hashes = _tokens(texts[begin:end], hasher)
+            for _, _, texts in portions(batch.column(0)):
+                _, hashes = _tokens(texts, hasher)
                 n += len(hashes[0])
                 for h in hashes:
                     total += np.bincount(_place(wanted, h), minlength=len(wanted) + 1)[:-1]
@@ -272,9 +271,9 @@ def _evidence_of(shared):
     def found(batches):
         hasher, model = Hasher(), shared.value
         for batch in batches:
-            texts, rows = as_bytes(batch.column(1)), []
-            for begin, end in blocks(texts):
-                rows += [evidence(model, found, n) for n, found, _, _ in _passages(model, texts[begin:end], hasher)]
+            rows = []
+            for _, _, texts in portions(batch.column(1)):
+                rows += [evidence(model, found, n) for n, found, _, _ in _passages(model, texts, hasher)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
     return found
 
@@ -284,9 +283,9 @@ def score_column(model: Model, text: Column) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     def scored(texts: pa.Array) -> pa.Array:
-        hasher, whole, model, rows = Hasher(), as_bytes(texts), shared.value, []
-        for begin, end in blocks(whole):
-            rows += [evidence(model, found, n) for n, found, _, _ in _passages(model, whole[begin:end], hasher)]
+        hasher, model, rows = Hasher(), shared.value, []
+        for _, _, part in portions(texts):
+            rows += [evidence(model, found, n) for n, found, _, _ in _passages(model, part, hasher)]
         x = np.array(rows, dtype=float).reshape(-1, 4)
         return pa.array(1 / (1 + np.exp(-np.clip(model[5][0] + x @ model[5][1:], -30, 30))))
     scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -300,9 +299,9 @@ def passages(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: st
     def found(batches):
         hasher, model = Hasher(), shared.value
         for batch in batches:
-            texts, rows, at = as_bytes(batch.column(1)), [], []
-            for begin, end in blocks(texts):
-                for d, (n, segs, block, base) in enumerate(_passages(model, texts[begin:end], hasher)):
+            rows, at = [], []
+            for begin, _, texts in portions(batch.column(1)):
+                for d, (n, segs, block, base) in enumerate(_passages(model, texts, hasher)):
                     for a, b, s, e in significant(model, segs, n):
                         words = block.data[block.starts[base + a]:block.ends[base + b]].tobytes().decode()
                         rows.append((a, b - a + 1, s, e, words))

@@ -70,21 +70,19 @@ class Block:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 
 
-def blocks(texts, most: int = BLOCK_BYTES):
-    """Ranges ``(from, to)`` of a list of byte strings with about ``most`` bytes each; a longer text is alone."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t) + 1
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
-def as_bytes(column) -> list[bytes]:
-    """An Arrow text column as UTF-8, null as no bytes."""
-    return [b"" if t is None else t for t in column.cast("binary").to_pylist()]
+def portions(column, most: int = BLOCK_BYTES):
+    """Slices ``(from, to, texts)`` of an Arrow text column with about ``most`` UTF-8 bytes each, null as no bytes.
+
+    A longer text is alone. Only one slice is held as Python objects at a time.
+    """
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.binary_length(column.cast("binary")), 0).to_numpy(zero_copy_only=False).tolist()
+    begin = total = 0
+    for i, size in enumerate([*sizes, most + 1]):
+        if i > begin and total + size > most:
+            yield begin, i, [b"" if t is None else t for t in column.slice(begin, i - begin).cast("binary").to_pylist()]
+            begin, total = i, 0
+        total += size + 1
 
 
 def packed_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .words import portions
 
 #: bytes of text whose distinct pre-tokens travel together
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: texts decoded or hashed at a time, in tokens
 TOKENS_AT_ONCE = 1 << 18
 ROWS = "block string, bucket int, ids array<{kind}>, counts array<int>, payload binary"
@@ -154,7 +154,8 @@ def _encoded(ranks):
         known, bucket = {}, None
         for batch in batches:
             rows = []
-            for name, k, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "payload"))):
+            for i in range(batch.num_rows):
+                name, k, payload = (batch.column(c)[i].as_py() for c in ("block", "bucket", "payload"))
                 if k != bucket:
                     known, bucket = {}, k
                 words = _unpack_strings(payload)
@@ -201,7 +202,8 @@ def _reassembled(kind: pa.DataType):
     def reassembled(batches):
         block, places, counts, parts = None, None, [], []
         for batch in batches:
-            for name, bucket, ids, n, payload in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+            for i in range(batch.num_rows):
+                name, bucket, ids, n, payload = (column[i].as_py() for column in batch.columns)
                 if name != block:
                     if block is not None:
                         yield from finish(places, counts, parts)

@@ -18,7 +18,7 @@ SAME = 0
 TRAINING_DOCUMENTS = 4000
 EPOCHS = 10
 RATE = 2.0
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: odd multipliers of the rolling hashes
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 
@@ -44,7 +44,7 @@ def features(texts: list[bytes], hasher: Hasher):
     for n in range(2, max(GRAMS) + 1):
         size = len(data) - n + 1
         if size <= 0:
-            return
+            break
         h = h[:size] + wide[n - 1:] * MULTIPLIERS[n - 1]
         if n > 2:
             crossed = crossed[:size] | space[n - 2:n - 2 + size]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,26 +29,24 @@ class Hasher:
     """64-bit hashes of byte ranges by differences of running sums; two bases give 128 bits."""
 
     def __init__(self) -> None:
-        self.n = 0
-        self.up: list[np.ndarray] = []
-        self.down: list[np.ndarray] = []
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def grow(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, BLOCK_BYTES + (1 << 16))
-            self.up = [powers(b, self.n) for b in BASES]
-            self.down = [powers(inverse(b), self.n) for b in BASES]
+    def powers(self, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of a base and of its inverse, at least ``n`` of each."""
+        if which not in self.known or len(self.known[which][0]) < n:
+            self.known[which] = powers(BASES[which], n + n // 8), powers(inverse(BASES[which]), n + n // 8)
+        return self.known[which]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
         return next(self.spans(data, [(starts, ends)], which))
 
     def spans(self, data: np.ndarray, ranges, which: int = 0):
         """Hashes of several lists of ranges over the same bytes."""
-        self.grow(len(data) + 1)
+        up, down = self.powers(which, len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[which][:len(data)], out=total[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
         for starts, ends in ranges:
-            h = (total[ends] - total[starts]) * self.down[which][starts]
+            h = (total[ends] - total[starts]) * down[starts]
             h ^= h >> np.uint64(32)
             yield h * BASES[1 - which]
 

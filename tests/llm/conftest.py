@@ -1,0 +1,16 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture
+def texts(spark):
+    """A documents table from ``(doc_id, text)``, with columns beyond those the operators read."""
+    def make(rows):
+        return spark.createDataFrame([(i, t, "x", 1.5) for i, t in rows], "doc_id long, text string, id string, label double")
+    return make
+
+

@@ -22,8 +22,7 @@ def _at(q: float) -> str:
 @query("dataset_overview", """SELECT count(*) AS rows, 5 AS columns, 3 AS numeric_columns, 2 AS other_columns,
                               count(*) FILTER (event_type IN ('error', 'view')) AS nulls FROM events""")
 def _overview(spark, sf_dir):
-    df = P.overview(source(spark, sf_dir, NULLED).drop("ts").withColumn("day", F.lit("d")))
-    return df
+    return P.overview(source(spark, sf_dir, NULLED))
 
 
 _SKEW = """(sum(pow(x - m, 3)) / n) / pow(sum(pow(x - m, 2)) / n, 1.5)"""
@@ -117,9 +116,9 @@ def _describe_sql(columns: list[str]) -> str:
         FROM ({_ranked(f'CAST({c} AS DOUBLE)', 'lineitem')})""" for c in columns)
 
 
-@query("describe", _describe_sql(["l_orderkey", "l_linenumber", *_NUM]))
+@query("describe", _describe_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_NUM]))
 def _describe(spark, sf_dir):
-    return rounded(P.describe(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_NUM, "l_returnflag")), 7)
+    return rounded(P.describe(table(spark, sf_dir, "lineitem")), 7)
 
 
 @query("missing_analysis", """SELECT 'value' AS column, count(*) FILTER (event_type IN ('error', 'view')) AS nulls,
@@ -133,9 +132,9 @@ def _missing(spark, sf_dir):
     f"""SELECT '{c}' AS column, '{t}' AS dtype, v[1] AS sample_1, v[2] AS sample_2, v[3] AS sample_3 FROM
         (SELECT list(CAST(x AS VARCHAR) ORDER BY x) AS v FROM (SELECT DISTINCT {c} AS x FROM orders ORDER BY 1 LIMIT 3))"""
     for c, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
-                 ("o_totalprice", "double"), ("o_orderpriority", "string"))))
+                 ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))))
 def _types(spark, sf_dir):
-    df = P.report(table(spark, sf_dir, "orders").drop("o_orderdate"), "datatype_overview")
+    df = P.report(table(spark, sf_dir, "orders"), "datatype_overview")
     return df.select("column", "dtype", *[F.get("sample_values", F.lit(i)).alias(f"sample_{i + 1}") for i in range(3)])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -82,7 +83,7 @@ def comparison_literal(dtype: T.DataType, value) -> Column:
         if whole:
             return F.lit(int(value) if isinstance(value, (int, str)) and _is_int(value) else int(number))
         if isinstance(dtype, T.DecimalType):
-            return F.lit(str(value)).cast(dtype)
+            return F.lit(decimal.Decimal(str(value)))  # in the bound's own scale
         return F.lit(number)
     return literal_for(dtype, value)
 

@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .columns import col
 
-BROADCAST_ROWS = 100_000
-SALTS = 16
+#: a side is broadcast when it is counted to take at most so many bytes
+BROADCAST_BYTES = 8 << 20
+FIXED = 16  # bytes counted for a value of fixed width, with its place in a row
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the table is counted to be small; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes; values of varying width are measured by their text."""
+    total = F.lit(FIXED)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + FIXED + F.coalesce(F.octet_length(col(f.name)), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + FIXED + F.coalesce(F.octet_length(F.to_json(F.struct(col(f.name)))), F.lit(0))
+        else:
+            total = total + FIXED
+    return total.cast("bigint")
 
 
-def attach(df: DataFrame, dictionary: DataFrame, key: str, dictionary_rows: int) -> DataFrame:
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows together take at most ``limit`` bytes, looking at no more rows than could fit."""
+    most = limit // (2 * FIXED)
+    rows, total = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return rows <= most and (total or 0) <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the table is measured to be small; otherwise leave the join to Spark."""
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def attach(df: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """Left join ``dictionary(key, ...)``, unique in ``key``.
 
-    A dictionary within ``BROADCAST_ROWS`` is broadcast. A larger one is copied
-    once per salt, so the rows of a hot key, or of null, spread over many tasks.
+    A dictionary measured to be small is broadcast. A larger one takes a plain join, of
+    which Spark splits the partitions of hot keys; rows without a key stay out of it.
     """
-    if dictionary_rows <= BROADCAST_ROWS:
+    if is_small(dictionary):
         return df.join(F.broadcast(dictionary), key, "left")
-    salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
-    copies = dictionary.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return df.withColumn("__salt", salt).join(copies, [key, "__salt"], "left").drop("__salt")
+    known = df.filter(col(key).isNotNull()).join(dictionary, key, "left")
+    new = [f for f in dictionary.schema.fields if f.name != key]
+    blank = df.filter(col(key).isNull()).select(*[col(c) for c in df.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in new])
+    return known.unionByName(blank)

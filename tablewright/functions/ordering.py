@@ -3,8 +3,7 @@
 A window without ``PARTITION BY`` sends the whole table to one task. Here the
 order key is cut into value ranges ("buckets") from a small sample of keys, so
 windows run per bucket in parallel; what a bucket needs from its neighbours (row
-offsets, last value seen) comes from a per-bucket summary of at most
-``MAX_BUCKETS`` rows. Bucket bounds are literals in the plan and a bucket is a
+offsets, last value seen) comes from a summary with one row per bucket. Bucket bounds are literals in the plan and a bucket is a
 pure function of the key, so a recomputed task always gives the same rows and
 nothing has to be materialised. Ties in the caller's key are broken by a row
 hash, which also spreads a hot key value over several buckets.
@@ -23,7 +22,6 @@ from .columns import col
 
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 8
-MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 32
 ROLLING_BLOCK = 500_000
 
@@ -66,20 +64,22 @@ def bucketed(df: DataFrame, order_by, tie_break: list[str] | None = None,
     names = order_columns(order_by)
     keyed = df.withColumn(KEY, order_key(names, tie_break or df.columns))
     if buckets is None:
-        buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, math.ceil(df.count() / ROWS_PER_BUCKET)))
-    bounds = _bounds(keyed, buckets)
+        buckets = max(MIN_BUCKETS, math.ceil((rows := df.count()) / ROWS_PER_BUCKET))
+    else:
+        rows = df.count()
+    bounds = _bounds(keyed, buckets, rows)
     return Ordered(keyed.withColumn(BUCKET, _bucket_number(F.col(KEY), bounds)), df.columns)
 
 
-def _bounds(keyed: DataFrame, buckets: int) -> list[str]:
-    """SQL literals of the bucket bounds, from a bounded sample of keys.
+def _bounds(keyed: DataFrame, buckets: int, rows: int) -> list[str]:
+    """SQL literals of the bucket bounds, from a sample of about ``SAMPLES_PER_BUCKET`` keys per bucket.
 
-    The hash-ordered top rows are a uniform sample of fixed size; their key
-    quantiles are the bounds. Only balance depends on the sample, never results.
+    Rows are drawn where they are read, in proportion to the count already taken; the
+    quantiles of their keys are the bounds. Only balance depends on the sample, never results.
     """
-    size = buckets * SAMPLES_PER_BUCKET
-    sample = keyed.select(F.col(KEY)).orderBy(F.xxhash64(KEY, F.lit(7)), KEY).limit(size)
-    ranked = sample.orderBy(KEY).collect()
+    share = buckets * SAMPLES_PER_BUCKET / max(1, rows)
+    keys = keyed.select(F.col(KEY))
+    ranked = (keys if share >= 1 else keys.sample(False, share, 7)).orderBy(KEY).collect()
     step = len(ranked) / buckets
     keys = [ranked[int(i * step)][KEY] for i in range(1, buckets) if ranked]
     types = [f.dataType for f in keyed.schema[KEY].dataType.fields]
@@ -130,7 +130,7 @@ def with_row_index(ordered: Ordered, start: int = 0) -> DataFrame:
     sizes = ordered.df.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__rows"))
     offsets = sizes.select(BUCKET, F.coalesce(F.sum("__rows").over(_earlier()), F.lit(0)).alias("__offset"))
     numbered = ordered.df.withColumn("__local", F.row_number().over(ordered.window()))
-    # at most MAX_BUCKETS rows
+    # one row per bucket
     return (numbered.join(F.broadcast(offsets), BUCKET)
             .withColumn(INDEX, F.col("__offset") + F.col("__local") - 1 + start)
             .drop("__offset", "__local"))
@@ -147,7 +147,7 @@ def carried(ordered: Ordered, value: Column, backward: dict[str, bool], df: Data
     edges = df.groupBy(BUCKET).agg(*[picks[back]("__v", seen).alias(f"__edge{i}") for i, back in enumerate(backward.values())])
     carries = [F.last(f"__edge{i}", ignorenulls=True).over(_earlier(reverse=back)).alias(f"__carry{i}")
                for i, back in enumerate(backward.values())]
-    # at most MAX_BUCKETS rows
+    # one row per bucket
     out = df.join(F.broadcast(edges.select(BUCKET, *carries)), BUCKET)
     for i, (name, back) in enumerate(backward.items()):
         # a frame that grows row by row costs one step per row; one that shrinks is rescanned

@@ -19,8 +19,9 @@ def split_exactly(df: DataFrame, wanted: int, seed: int, rows: int,
     """The ``wanted`` rows with the smallest hashes, and the others.
 
     The cut-off is an order statistic of the hashes, so a large part is a filter and
-    not a sort. Rows tied with the cut-off are copies of each other (hash collisions
-    aside), so a limit shares them out. ``key`` may name columns that identify a row.
+    not a sort. ``key`` may name columns that identify a row; rows it leaves tied with the
+    cut-off are told apart by all their columns. What is still tied are copies of each
+    other, of which each part gets a number.
     """
     if wanted <= 0:
         return df.limit(0), df
@@ -33,10 +34,13 @@ def split_exactly(df: DataFrame, wanted: int, seed: int, rows: int,
     taken = wanted - sizes["below"]
     if taken == sizes["tied"]:
         return hashed.filter(h <= cutoff).drop(HASH), hashed.filter(h > cutoff).drop(HASH)
-    tied = hashed.filter(h == cutoff)
-    first = hashed.filter(h < cutoff).unionByName(tied.limit(taken))
-    rest = hashed.filter(h > cutoff).unionByName(tied.limit(sizes["tied"] - taken))
-    return first.drop(HASH), rest.drop(HASH)
+    tied = hashed.filter(h == cutoff).drop(HASH)
+    if key:
+        mine, others = split_exactly(tied, taken, seed, sizes["tied"])
+    else:
+        mine, others = tied.limit(taken), tied.limit(sizes["tied"] - taken)
+    return (hashed.filter(h < cutoff).drop(HASH).unionByName(mine),
+            hashed.filter(h > cutoff).drop(HASH).unionByName(others))
 
 
 def sample_exactly(df: DataFrame, wanted: int, seed: int, rows: int, key: list[str] | None = None) -> DataFrame:

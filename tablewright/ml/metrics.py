@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
 
-SILHOUETTE_ROWS, SEED = 10_000, 42  # fixed values: the silhouette looks at no more rows
+SEED = 42
 
 
 def regression_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction", prefix: str = "") -> DataFrame:
@@ -22,13 +22,13 @@ def regression_metrics(predictions: DataFrame, label: str = "label", prediction:
 
 
 def confusion_matrix(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Counts per (actual, predicted), all label pairs present, in label order."""
+    """Counts per (actual, predicted), all label pairs present, in label order: the result has the square of the labels."""
     cells = predictions.groupBy(col(label).cast("double").alias("actual"), col(prediction).cast("double").alias("predicted")).count()
-    found = cells.collect()
-    names = sorted({v for r in found for v in (r["actual"], r["predicted"])})
-    counts = {(r["actual"], r["predicted"]): r["count"] for r in found}
-    rows = [(a, b, counts.get((a, b), 0)) for a in names for b in names]
-    return predictions.sparkSession.createDataFrame(rows, "actual double, predicted double, count bigint")
+    names = cells.select(F.explode(F.array("actual", "predicted")).alias("name")).distinct()
+    listed = names.agg(F.array_sort(F.collect_set("name")).alias("names"))
+    pairs = listed.select(F.explode("names").alias("actual"), "names").select("actual", F.explode("names").alias("predicted"))
+    found = pairs.join(cells, ["actual", "predicted"], "left")
+    return found.select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")).orderBy("actual", "predicted")
 
 
 def classification_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -49,10 +49,42 @@ def classification_metrics(predictions: DataFrame, label: str = "label", predict
                    (F.sum(recall * F.col("actual")) / total).alias("recall"), (F.sum(f1 * F.col("actual")) / total).alias("f1"))
 
 
-def silhouette(points: DataFrame, rows: int = SILHOUETTE_ROWS, seed: int = SEED) -> float | None:
-    """Mean Euclidean silhouette of ``points(id, x, prediction)``, on a seeded sample if there are more rows.
+def silhouette(points: DataFrame) -> float | None:
+    """Mean silhouette of all ``points(id, x, prediction)`` in squared Euclidean distance.
 
-    The sample is bounded, so every task holds it and scores its own share of the rows.
+    A row's mean squared distance to a cluster follows from the cluster's size, sum and
+    sum of squares, so one aggregate and one pass do; the centres are one row per cluster.
+    """
+    norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    wide = points.select("prediction", F.col("x").cast("array<double>").alias("x"))
+    sums = (wide.select("prediction", norm.alias("sq"), F.posexplode("x").alias("at", "v"))
+            .groupBy("prediction", "at").agg(F.sum("v").alias("s"), F.count("*").alias("n"), F.sum("sq").alias("q"))
+            .groupBy("prediction").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("sums"), F.max("n").alias("n"),
+                                       F.max(F.when(F.col("at") == 0, F.col("q"))).alias("q")).collect())
+    total = sum(r["n"] for r in sums)
+    if len(sums) < 2 or len(sums) >= total:
+        return None
+    scored = wide.withColumn("__sq", norm)
+    own, others = F.lit(None).cast("double"), []
+    single = F.lit(False)
+    for r in sums:
+        centre = F.array(*[F.lit(float(c["s"])) for c in r["sums"]])
+        dot = F.aggregate(F.zip_with("x", centre, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        whole = F.col("__sq") * F.lit(r["n"]) - 2 * dot + F.lit(float(r["q"]))  # summed squared distances to the cluster
+        mine = F.col("prediction") == F.lit(r["prediction"])
+        own = F.when(mine, whole / F.lit(max(1, r["n"] - 1))).otherwise(own)
+        others.append(F.when(~mine, whole / F.lit(r["n"])))
+        single = single | (mine & F.lit(r["n"] == 1))
+    near = F.least(*others)
+    scale = F.greatest(own, near)
+    score = F.when(single | (scale <= 0), 0.0).otherwise((near - own) / scale)
+    return scored.select(score.alias("s")).agg(F.avg("s")).first()[0]
+
+
+def sampled_silhouette(points: DataFrame, rows: int, seed: int = SEED) -> float | None:
+    """Mean Euclidean silhouette of ``points(id, x, prediction)``, on a seeded sample of ``rows`` if there are more.
+
+    Every row is compared with every row of the sample, which each task holds: the caller bounds it.
     """
     sample = points.select("id", "x", "prediction").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(rows)
     held = sample.select("x", "prediction").collect()
@@ -81,8 +113,11 @@ def silhouette(points: DataFrame, rows: int = SILHOUETTE_ROWS, seed: int = SEED)
     return scored.agg(F.avg("s")).first()[0]
 
 
-def clustering_metrics(points: DataFrame, inertia: float | None = None) -> DataFrame:
-    """Clusters without noise, inertia if known, and the silhouette of ``points(id, x, prediction)``."""
+def clustering_metrics(points: DataFrame, inertia: float | None = None, sample: int | None = None) -> DataFrame:
+    """Clusters without noise, inertia if known, and the silhouette of ``points(id, x, prediction)``.
+
+    The silhouette is that of all rows in squared distances; ``sample`` asks for plain distances within a sample.
+    """
     clusters = points.filter(F.col("prediction") >= 0).select("prediction").distinct().count()
-    row = (clusters, inertia, silhouette(points))
+    row = (clusters, inertia, silhouette(points) if sample is None else sampled_silhouette(points, sample))
     return points.sparkSession.createDataFrame([row], "clusters bigint, inertia double, silhouette double")

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import col
 from .bayes import GaussianClassifier
 from .boosting import boosted_classifier, boosted_regressor
 from .dbscan import dbscan
@@ -28,8 +29,8 @@ SEED = 48
 
 def assemble(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
     """Add the feature vector and, for supervised work, the label as double."""
-    out = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error").transform(df)
-    return out if target is None else out.withColumn(LABEL, F.col(target).cast("double"))
+    out = df.withColumn(FEATURES, array_to_vector(F.array(*[col(c).cast("double") for c in features])))
+    return out if target is None else out.withColumn(LABEL, col(target).cast("double"))
 
 
 def _shape(train: DataFrame) -> tuple[int, float]:
@@ -75,8 +76,13 @@ def _feature_share(value, default: str) -> str:
 
 
 def _depth(p: dict, default=None) -> int:
+    """No depth means as deep as the library goes; an explicit greater one is refused."""
     depth = p.get("max_depth", default)
-    return DEEPEST if depth in (None, "None") else min(DEEPEST, int(depth))
+    if depth in (None, "None"):
+        return DEEPEST
+    if int(depth) > DEEPEST:
+        raise ValueError(f"max_depth is at most {DEEPEST}")
+    return int(depth)
 
 
 def _tree(p: dict, default_depth=None) -> dict:
@@ -173,9 +179,40 @@ ALGORITHMS = {**dict.fromkeys(REGRESSION, "regression"), **dict.fromkeys(CLASSIF
               **dict.fromkeys(CLUSTERING, "clustering")}
 
 
+_TREE = {"max_depth", "min_samples_leaf", "min_impurity_decrease", "max_bins", "random_state"}
+_FOREST = _TREE | {"n_estimators", "bootstrap", "max_samples", "max_features"}
+_BOOST = _TREE | {"n_estimators", "learning_rate", "subsample", "colsample_bytree", "max_features"}
+_LINEAR = {"positive", "fit_intercept", "max_iter", "tol"}
+#: the parameters each algorithm honours; any other is refused, not ignored
+HONOURED = {
+    "linear-regression": _LINEAR, "ridge-regression": _LINEAR | {"alpha"}, "lasso-regression": _LINEAR | {"alpha"},
+    "elasticnet": _LINEAR | {"alpha", "l1_ratio"}, "decision-tree-regressor": _TREE, "random-forest-regressor": _FOREST,
+    "gradient-boosting-regressor": _BOOST | {"loss"}, "xgboost-regressor": _BOOST,
+    "adaboost-regressor": {"n_estimators", "learning_rate", "loss", "max_depth", "max_bins", "random_state"},
+    "knn-regressor": {"n_neighbors", "weights", "p", "metric"},
+    "logistic-regression": {"penalty", "C", "l1_ratio", "tol", "max_iter", "fit_intercept"},
+    "decision-tree-classifier": _TREE | {"criterion"}, "random-forest-classifier": _FOREST | {"criterion"},
+    "svm-classifier": {"kernel", "C", "tol", "max_iter"}, "knn-classifier": {"n_neighbors", "weights", "p", "metric"},
+    "naive-bayes": {"priors", "var_smoothing"}, "xgboost-classifier": _BOOST,
+    "adaboost-classifier": {"n_estimators", "learning_rate", "max_depth", "max_bins", "random_state"},
+    "kmeans": {"n_clusters", "max_iter", "tol", "random_state", "init"}, "dbscan": {"eps", "min_samples", "metric", "p", "id"},
+}
+# fixed values: form fields with one meaning here, accepted with that value only
+NEUTRAL = {"min_samples_split": (2,), "max_leaf_nodes": (None, "None"), "ccp_alpha": (0, 0.0), "reg_alpha": (0, 0.0), "gamma": (0, 0.0),
+           "min_child_weight": (1,), "n_jobs": (None, "None", 1, -1), "algorithm": ("auto",), "leaf_size": (30,)}
+
+
+def check_parameters(name: str, params: dict) -> None:
+    """Raise on a parameter that would have no effect."""
+    idle = sorted(k for k, v in params.items() if k not in HONOURED[name] and v not in NEUTRAL.get(k, ()))
+    if idle:
+        raise ValueError(f"{name} does not honour {idle}")
+
+
 def fit_model(name: str, train: DataFrame, params: dict | None = None):
     """Fit an algorithm on assembled rows (clustering by density is fitted through ``train``)."""
     builders = {**REGRESSION, **CLASSIFICATION, "kmeans": _kmeans}
     if name not in builders:
         raise ValueError(f"unknown algorithm {name!r}")
+    check_parameters(name, params or {})
     return builders[name](train, params or {})

@@ -5,17 +5,20 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_text, col, is_numeric
 from ..functions.ordering import INDEX, bucketed, with_row_index
 from ..functions.quantiles import values_at_ranks
 from ..functions.sampling import HASH, row_hash, split_exactly
 from ..functions.values import most_frequent, sorted_values, value_counts
-from ..operators.columns import MAX_NEW_COLUMNS
 
 # fixed values: defaults of the training form
 TEST_SIZE, SEED, MISSING = 0.2, 48, "missing"
+# rows of a class whose ranks one task may take
+LARGE_CLASS = 1_000_000
 
 
 def choose_columns(df: DataFrame, target: str | None, excluded: list[str] | None = None,
@@ -77,18 +80,48 @@ def _quotas(counts: list[int], wanted: int) -> list[int]:
 
 
 def _stratified(df: DataFrame, label: str, wanted: int, rows: int, seed: int, key) -> tuple[DataFrame, DataFrame]:
-    classes = value_counts(df, label).orderBy("value").limit(MAX_NEW_COLUMNS + 1).collect()
-    if len(classes) > MAX_NEW_COLUMNS:
-        raise ValueError(f"column {label!r} has too many classes to split by")
+    """Each class gives its quota of smallest hashes: a cut-off for a large class, a rank among the rows of a small one."""
+    classes = value_counts(df, label).orderBy("value").collect()
     quotas = _quotas([r["count"] for r in classes], wanted)
     hashed = df.withColumn(HASH, row_hash(df, seed, key))
-    used = [(r, q) for r, q in zip(classes, quotas) if q]
+    shares = list(zip(classes, quotas))
+    large = [(r, q) for r, q in shares if r["count"] > LARGE_CLASS]
+    if len(large) < len(shares):
+        return _ranked(hashed, label, [(r["value"], q) for r, q in shares if r["count"] <= LARGE_CLASS], large)
+    used = [(r, q) for r, q in large if q]
+    chosen = _cut(hashed, label, used)
+    return hashed.filter(chosen).drop(HASH), hashed.filter(~chosen).drop(HASH)
+
+
+def _ranked(hashed: DataFrame, label: str, small: list[tuple], large: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    quotas = hashed.sparkSession.createDataFrame(
+        small, T.StructType([T.StructField("__value", hashed.schema[label].dataType), T.StructField("__quota", T.LongType())]))
+    is_large = F.lit(False)
+    for r, _ in large:
+        is_large = is_large | col(label).eqNullSafe(F.lit(r["value"]))
+    rest = hashed.filter(~is_large)
+    # a second hash over all columns orders rows with equal keys; what is still tied are copies
+    names = [c for c in hashed.columns if c != HASH]
+    order = Window.partitionBy(col(label)).orderBy(HASH, F.xxhash64(*[col(c) for c in names]))
+    ranked = (rest.withColumn("__rank", F.row_number().over(order))
+              .join(quotas, col(label).eqNullSafe(F.col("__value"))))
+    inside = F.col("__rank") <= F.col("__quota")
+    test, train = (ranked.filter(c).select(*[col(n) for n in names]) for c in (inside, ~inside))
+    if large:
+        chosen = _cut(hashed, label, [(r, q) for r, q in large if q])
+        test = test.unionByName(hashed.filter(is_large & chosen).drop(HASH))
+        train = train.unionByName(hashed.filter(is_large & ~chosen).drop(HASH))
+    return test, train
+
+
+def _cut(hashed: DataFrame, label: str, used: list[tuple]):
+    """Whether a row is among its class's quota, by the order statistic of the hashes."""
     mine = [col(label).eqNullSafe(F.lit(r["value"])) for r, _ in used]
     cuts = values_at_ranks(hashed, [(F.when(m, F.col(HASH)), r["count"], q - 1) for m, (r, q) in zip(mine, used)])
     chosen = F.lit(False)
     for m, cut in zip(mine, cuts):
         chosen = chosen | (m & (F.col(HASH) <= cut))
-    return hashed.filter(chosen).drop(HASH), hashed.filter(~chosen).drop(HASH)
+    return chosen
 
 
 @dataclass
@@ -108,6 +141,31 @@ class FeatureRules:
         return df.select(*[col(c) for c in keep], *numbers, *flags)
 
 
+    def vectors(self, df: DataFrame, keep: list[str], into: str = "features") -> DataFrame:
+        """The same features as one vector, sparse where text columns have values: no column per value.
+
+        Columns get names of their own on the way, as shown names may hold any character.
+        """
+        numbers = [F.coalesce(col(c).cast("double"), F.lit(fill)) for c, fill in self.numeric.items()]
+        words = [F.coalesce(as_text(df, c), F.lit(fill)).alias(f"__word{i}") for i, (c, (fill, _)) in enumerate(self.text.items())]
+        out = df.select(*[col(c) for c in keep], (array_to_vector(F.array(*numbers)) if numbers else F.lit(None)).alias("__numbers"), *words)
+        parts = ["__numbers"] if numbers else []
+        for i, (_, values) in enumerate(self.text.values()):
+            if not values:
+                continue
+            # value k has index k; words without a flag share the index after the last, whose flag is cut off
+            known = StringIndexerModel.from_labels(values, f"__word{i}", f"__index{i}", handleInvalid="keep")
+            flags = OneHotEncoder(inputCols=[f"__index{i}"], outputCols=[f"__all{i}"], dropLast=False)
+            every = out.sparkSession.createDataFrame([(float(k),) for k in range(len(values) + 1)], f"__index{i} double")
+            cut = VectorSlicer(inputCol=f"__all{i}", outputCol=f"__flags{i}", indices=list(range(len(values))))
+            out = cut.transform(flags.fit(every).transform(known.transform(out)))
+            parts.append(f"__flags{i}")
+        if not parts:
+            raise ValueError("no features are left")
+        joined = VectorAssembler(inputCols=parts, outputCol="__features").transform(out)
+        return joined.select(*[col(c) for c in keep], F.col("__features").alias(into))
+
+
 def feature_rules(df: DataFrame, features: list[str]) -> FeatureRules:
     """Means for numbers, the lowest mode for text, one flag per text value after the first."""
     numeric = [c for c in features if is_numeric(df, c) or isinstance(df.schema[c].dataType, T.BooleanType)]
@@ -117,7 +175,7 @@ def feature_rules(df: DataFrame, features: list[str]) -> FeatureRules:
     for c in (c for c in features if c not in numeric):
         words = df.select(as_text(df, c).alias("word"))
         mode = most_frequent(words, "word") or MISSING
-        values = sorted_values(words, "word", MAX_NEW_COLUMNS)
+        values = sorted_values(words, "word")
         text[c] = (mode, (values or [mode])[1:])
     return FeatureRules(fills, text)
 
@@ -129,6 +187,13 @@ class Prepared:
     features: list[str]
     target: str | None
     rules: FeatureRules
+    #: the parts before features were built
+    rows: tuple[DataFrame, DataFrame]
+
+    def vectors(self) -> tuple[DataFrame, DataFrame]:
+        """Training and test rows as ``label`` and ``features``, for models."""
+        return tuple(self.rules.vectors(part, [self.target]).select(col(self.target).cast("double").alias("label"), "features")
+                     for part in self.rows)
 
 
 def prepare(df: DataFrame, target: str | None = None, excluded: list[str] | None = None, leaky: bool = False,
@@ -147,4 +212,4 @@ def prepare(df: DataFrame, target: str | None = None, excluded: list[str] | None
     rows = rows.select(*[col(c) for c in dict.fromkeys(needed)])
     train, test = split_rows(rows, **split)
     rules = feature_rules(rows if leaky else train, features)
-    return Prepared(rules.apply(train, [target]), rules.apply(test, [target]), rules.names, target, rules)
+    return Prepared(rules.apply(train, [target]), rules.apply(test, [target]), rules.names, target, rules, (train, test))

@@ -8,7 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .metrics import classification_metrics, clustering_metrics, regression_metrics
-from .models import ALGORITHMS, assemble, fit_model
+from ..functions.columns import col
+from .models import ALGORITHMS, check_parameters, fit_model
 from .dbscan import dbscan
 from .prepare import choose_columns, feature_rules, prepare
 
@@ -25,12 +26,12 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, excluded: li
     """Fit an algorithm and measure it: on test rows, and for regression on training rows too."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}")
+    check_parameters(algorithm, params or {})
     kind = ALGORITHMS[algorithm]
     if kind == "clustering":
         return _cluster(df, algorithm, excluded, params or {})
     ready = prepare(df, target, excluded, **split)
-    rows = assemble(ready.train, ready.features, ready.target).select("features", "label")
-    test = assemble(ready.test, ready.features, ready.target)
+    rows, test = ready.vectors()
     model = fit_model(algorithm, rows, params)
     predictions = model.transform(test)
     if kind == "classification":
@@ -50,16 +51,16 @@ def _cluster(df: DataFrame, algorithm: str, excluded: list[str] | None, params:
     """All columns are features unless excluded; rows get a hashed id from all columns."""
     _, features = choose_columns(df, None, excluded, clustering=True)
     rules = feature_rules(df, features)
-    numbers = assemble(rules.apply(df, []), rules.names)
+    numbers = rules.vectors(df, [])
     if algorithm == "kmeans":
         model = fit_model("kmeans", numbers, params)
         found = model.transform(numbers)
-        points = found.select(F.xxhash64(*[F.col(f"`{c}`") for c in rules.names]).alias("id"),
+        points = found.select(F.xxhash64(vector_to_array("features")).alias("id"),
                               vector_to_array("features").alias("x"), "prediction")
         return Trained(model, clustering_metrics(points, model.summary.trainingCost), found)
     key = params.get("id")
     if key is None:
         raise ValueError("density clustering needs params['id'], a column that identifies rows")
-    points = assemble(rules.apply(df, [key] if key not in rules.names else []), rules.names)
-    found = dbscan(points.select(F.col(key).alias("id"), vector_to_array("features").alias("x")), params)
+    points = rules.vectors(df, [key])
+    found = dbscan(points.select(col(key).alias("id"), vector_to_array("features").alias("x")), params)
     return Trained(None, clustering_metrics(found), found)

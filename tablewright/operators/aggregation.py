@@ -14,7 +14,7 @@ def skipping_nan(df: DataFrame, name: str, fn) -> Column:
     return F.coalesce(fn(F.when(~F.isnan(c), c)), fn(c)) if is_floating(df, name) else fn(c)
 
 
-@table_step("groupby_aggregate", streams=True)
+@table_step("groupby_aggregate")
 def groupby_aggregate(df: DataFrame, params: dict) -> DataFrame:
     """One row per key (null is a key); the result keeps the aggregated column's name."""
     keys, name, kind = params.get("group_cols") or [], params.get("agg_col"), params.get("agg_type", "mean")

@@ -10,8 +10,6 @@ from ..functions.columns import as_text, col, data_type, named_columns, natural_
 from ..functions.formula import formula_column
 from ..plans.registry import row_step, table_step
 
-MAX_NEW_COLUMNS = 1_000
-
 # fixed values: type names a step may ask for
 TYPES = {
     "int64": T.LongType(),
@@ -24,11 +22,6 @@ TYPES = {
 }
 
 
-def check_width(count: int, what: str) -> None:
-    if count > MAX_NEW_COLUMNS:
-        raise ValueError(f"{what} would add {count} columns; the limit is {MAX_NEW_COLUMNS}")
-
-
 @row_step("drop_columns")
 def drop_columns(df: DataFrame, params: dict) -> DataFrame:
     return df.drop(*named_columns(df, params))
@@ -96,9 +89,7 @@ def _parts(df: DataFrame, params: dict):
 def _most_parts(df: DataFrame, params: dict):
     if params.get("column") not in df.columns:
         return 0
-    most = df.agg(F.max(F.size(_parts(df, params)))).first()[0] or 0
-    check_width(most, "split_column")
-    return most
+    return df.agg(F.max(F.size(_parts(df, params)))).first()[0] or 0
 
 
 @table_step("split_column", fit=_most_parts, streams=True)
@@ -106,8 +97,11 @@ def split_column(df: DataFrame, params: dict, most: int) -> DataFrame:
     """Numbered parts of a text; a row with fewer parts has nulls at the end."""
     if not most or most < 0:
         return df
-    name, parts = params["column"], _parts(df, params)
-    return df.withColumns({f"{name}_split_{i + 1}": F.get(parts, F.lit(i)) for i in range(most)})
+    name = params["column"]
+    # split once per row, not once per part
+    split = df.withColumn("__parts", _parts(df, params))
+    return split.select(*[col(c) for c in df.columns if c not in (new := [f"{name}_split_{i + 1}" for i in range(most)])],
+                        *[F.get("__parts", F.lit(i)).alias(n) for i, n in enumerate(new)])
 
 
 @row_step("interaction_terms")

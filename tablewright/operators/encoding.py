@@ -7,20 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_text, col, data_type, named_columns
-from ..functions.lookup import attach
+from ..functions.checkpoints import settled
+from ..functions.lookup import attach, row_bytes
 from ..functions.ordering import INDEX, bucketed, with_row_index
 from ..functions.values import sorted_values
 from ..plans.registry import row_step, table_step
-from .columns import MAX_NEW_COLUMNS, check_width
 
-INLINE_CATEGORIES = 200
+# categories that are written into the plan: so many, and so many bytes
+INLINE_CATEGORIES, INLINE_BYTES = 200, 16_384
 CODE = "__code"
 
 
 def _categories(df: DataFrame, params: dict) -> dict[str, list]:
     if df.isEmpty():
         return {}
-    return {c: sorted_values(df, c, MAX_NEW_COLUMNS) for c in named_columns(df, params)}
+    return {c: sorted_values(df, c) for c in named_columns(df, params)}
 
 
 @table_step("one_hot_encode", fit=_categories, streams=True)
@@ -31,7 +32,10 @@ def one_hot_encode(df: DataFrame, params: dict, categories: dict[str, list]) ->
     kept = [col(c) for c in df.columns if c not in categories]
     flags = [(col(c) == F.lit(v)).cast("int").alias(f"{c}_{v}")
              for c, values in categories.items() for v in values[1:]]
-    check_width(len(flags), "one_hot_encode")
+    names = [c for c in df.columns if c not in categories] + [f"{c}_{v}" for c, values in categories.items() for v in values[1:]]
+    twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
+    if twice:
+        raise ValueError(f"one_hot_encode would make the columns {twice} twice; rename the existing ones first")
     return df.select(*kept, *flags)
 
 
@@ -48,17 +52,21 @@ def category_codes(df: DataFrame, params: dict) -> Codes | None:
     if name not in df.columns:
         return None
     distinct = df.filter(col(name).isNotNull()).select(col(name)).distinct()
-    few = distinct.orderBy(col(name)).limit(INLINE_CATEGORIES + 1).collect()
-    if len(few) <= INLINE_CATEGORIES:
-        return Codes(len(few), values=[r[0] for r in few])
+    few = distinct.limit(INLINE_CATEGORIES + 1)
+    size = few.agg(F.count(F.lit(1)), F.sum(row_bytes(few))).first()
+    if size[0] <= INLINE_CATEGORIES and (size[1] or 0) <= INLINE_BYTES:
+        values = distinct.orderBy(col(name)).collect()
+        return Codes(len(values), values=[r[0] for r in values])
+    # written once: ranking reads the values several times, and so would every use of the codes
+    distinct = settled(distinct)
     ranked = with_row_index(bucketed(distinct, name))
-    table = ranked.select(col(name), F.col(INDEX).cast("int").alias(CODE))
+    table = settled(ranked.select(col(name), F.col(INDEX).cast("int").alias(CODE)))
     return Codes(distinct.count(), table=table)
 
 
 def _with_code(df: DataFrame, name: str, codes: Codes) -> DataFrame:
     if codes.values is None:
-        return attach(df, codes.table, name, codes.count)
+        return attach(df, codes.table, name)
     return df.withColumn(CODE, _inline_code(df, name, codes.values))
 
 

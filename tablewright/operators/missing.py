@@ -69,7 +69,7 @@ def _carry(df: DataFrame, params: dict, backward: bool) -> DataFrame:
     name = params.get("column")
     if name not in df.columns:
         return df
-    ordered = bucketed(df, params.get("order_by"), [name])
+    ordered = bucketed(df, params.get("order_by"))
     return ordered.restore(carried(ordered, col(name), {name: backward}))
 
 
@@ -79,7 +79,7 @@ def interpolate(df: DataFrame, params: dict) -> DataFrame:
     name = params.get("column")
     if name not in df.columns:
         return df
-    ordered = bucketed(df, params.get("order_by"), [name])
+    ordered = bucketed(df, params.get("order_by"))
     known = F.when(col(name).isNotNull(), F.struct(col(name).cast("double").alias("v"), F.col(INDEX).alias("i")))
     both = carried(ordered, known, {"__before": False, "__after": True}, with_row_index(ordered))
     before, after = F.col("__before"), F.col("__after")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import as_text, col, is_numeric
-from ..functions.ordering import order_columns
+from ..functions.ordering import INDEX, bucketed, order_columns, with_row_index
 from ..functions.values import sorted_values
 from ..plans.registry import table_step
-from .columns import MAX_NEW_COLUMNS
 
 _AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": F.median}
 
@@ -17,7 +16,7 @@ def _pivot_values(df: DataFrame, params: dict) -> list | None:
     index, across, value = params.get("index"), params.get("columns_col"), params.get("values")
     if not {index, across, value} <= set(df.columns):
         return None
-    return sorted_values(_pivot_rows(df, params), across, MAX_NEW_COLUMNS)
+    return sorted_values(_pivot_rows(df, params), across)
 
 
 def _pivot_rows(df: DataFrame, params: dict) -> DataFrame:
@@ -63,21 +62,22 @@ def melt(df: DataFrame, params: dict) -> DataFrame:
 def transpose(df: DataFrame, params: dict) -> DataFrame:
     """Columns become rows headed by ``index``; row i becomes ``column_i``.
 
-    The result is as wide as the table is long, so long tables are refused.
+    The result is as wide as the table is long; ``max_rows`` refuses longer tables. Cells
+    are numbered and regrouped by column, and only the number of rows reaches the driver.
     """
     order = order_columns(params.get("order_by"))
-    head = df.orderBy(*[col(c).asc_nulls_first() for c in order]).limit(MAX_NEW_COLUMNS + 1)
-    rows = head.collect()
-    if len(rows) > MAX_NEW_COLUMNS:
-        raise ValueError(f"cannot transpose more than {MAX_NEW_COLUMNS} rows")
     numeric = all(isinstance(f.dataType, T.NumericType) for f in df.schema.fields)
     whole = all(isinstance(f.dataType, T.IntegralType) for f in df.schema.fields)
     kind = "bigint" if whole else "double" if numeric else "string"
-    texts = [F.col(c).cast("string") for c in head.columns]
-    if kind == "string":
-        rows = head.select(*[t.alias(c) for t, c in zip(texts, head.columns)]).collect()
-    cast = {"bigint": int, "double": float, "string": str}[kind]
-    cells = [(name, *[None if r[j] is None else cast(r[j]) for r in rows])
-             for j, name in enumerate(df.columns)]
-    schema = ", ".join(["index string", *[f"column_{i} {kind}" for i in range(len(rows))]])
-    return df.sparkSession.createDataFrame(cells, schema)
+    rows, most = df.count(), params.get("max_rows")
+    if most is not None and rows > int(most):
+        raise ValueError(f"cannot transpose {rows} rows, more than max_rows")
+    if not rows:
+        names = F.array(*[F.struct(F.lit(c).alias("index")) for c in df.columns])
+        return df.sparkSession.range(1).select(F.inline(names))
+    cells = F.array(*[F.struct(F.lit(j).alias("at"), F.lit(c).alias("index"), col(c).cast(kind).alias("value"))
+                      for j, c in enumerate(df.columns)])
+    numbered = with_row_index(bucketed(df, order)).select(F.col(INDEX).alias("row"), F.inline(cells))
+    lists = (numbered.groupBy("at", "index").agg(F.sort_array(F.collect_list(F.struct("row", "value"))).alias("cells"))
+             .orderBy("at"))
+    return lists.select("index", *[F.get("cells", F.lit(i))["value"].alias(f"column_{i}") for i in range(rows)])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import col, named_columns
 from ..functions.ordering import order_columns
 from ..functions.sampling import sample_exactly
-from ..plans.registry import row_step, table_step
+from ..plans.registry import table_step
 
 
 @table_step("sort_column")
@@ -29,8 +29,9 @@ def sample_rows(df: DataFrame, params: dict) -> DataFrame:
     return sample_exactly(df, wanted, seed, rows)
 
 
-@row_step("remove_duplicates")
+@table_step("remove_duplicates")
 def remove_duplicates(df: DataFrame, params: dict) -> DataFrame:
+    """Distinct rows; refused on a stream, where it would have to remember every row."""
     return df.dropDuplicates()
 
 

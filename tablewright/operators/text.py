@@ -86,9 +86,41 @@ def remove_special_chars(df: DataFrame, params: dict) -> DataFrame:
     return df.withColumn(name, F.regexp_replace(as_text(df, name), NOT_PLAIN, "")) if name in df.columns else df
 
 
+def _marked(pattern: str) -> str | None:
+    """The pattern with an empty group at the end of its first group, which a back reference can test; None without a
+    group to mark or with numbered references, which a new group would shift."""
+    opened, depth, inside, k = None, 0, False, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            if pattern[k + 1:k + 2].isdigit():
+                return None
+            k += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            k += pattern[k + 1:k + 2] == "]"
+        elif c == "(":
+            depth += 1
+            if opened is None and (pattern[k + 1:k + 2] != "?" or re.match(r"\(\?<[A-Za-z]", pattern[k:])):
+                opened = depth
+        elif c == ")":
+            if depth == opened:
+                return pattern[:k] + "(?<tookpart>)" + pattern[k:]
+            depth -= 1
+        k += 1
+    return None
+
+
 def extract_first(text: Column, pattern: str) -> Column:
-    """Group 1 of the first match; null without a match."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
+    """Group 1 of the first match; null without a match, or if the group takes no part in it."""
+    found = F.regexp_like(text, F.lit(pattern))
+    marked = _marked(pattern)
+    if marked is not None:
+        # an atomic group stops at the first match, so the reference only asks whether its group was entered
+        found = F.regexp_like(text, F.lit(rf"\A(?>(?s:.*?)(?:{marked}))\k<tookpart>"))
+    return F.when(found, F.regexp_extract(text, pattern, 1)).when(text.isNull(), F.lit(None))
 
 
 @row_step("regex_extraction")

@@ -19,4 +19,4 @@ def rolling_window(df: DataFrame, params: dict) -> DataFrame:
     if name not in df.columns or op not in _OPERATIONS:
         return df
     new = params.get("new_name") or f"{name}_rolling_{op}_{size}"
-    return rolling(df, params.get("order_by"), size, {new: _OPERATIONS[op](col(name))}, [name])
+    return rolling(df, params.get("order_by"), size, {new: _OPERATIONS[op](col(name))})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import SparkSession
+
 VERSION = "1.0"  # fixed value: document format version
 
 
@@ -20,14 +22,29 @@ def from_document(text: str) -> list[dict]:
     return steps if isinstance(steps, list) else []
 
 
-def write_steps(path: str, steps: list[dict]) -> None:
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(to_document(steps))
+def _opened(spark: SparkSession, path: str):
+    """A path of any file system the session reads, and that file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
 
 
-def read_steps(path: str) -> list[dict]:
+def write_steps(path: str, steps: list[dict], spark: SparkSession | None = None) -> None:
+    files, target = _opened(spark or SparkSession.active(), path)
+    out = files.create(target, True)
     try:
-        with open(path, encoding="utf-8") as source:
-            return from_document(source.read())
-    except OSError:
+        out.write(bytearray(to_document(steps).encode()))
+    finally:
+        out.close()
+
+
+def read_steps(path: str, spark: SparkSession | None = None) -> list[dict]:
+    """The steps of a stored document; a missing file counts as empty, any other failure to read is raised."""
+    spark = spark or SparkSession.active()
+    files, target = _opened(spark, path)
+    if not files.exists(target):
         return []
+    source = files.open(target)
+    try:
+        return from_document(bytes(source.readAllBytes()).decode())
+    finally:
+        source.close()

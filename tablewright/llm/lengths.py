@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .bpe import parsed_ranks, public_pattern, public_ranks, read_ranks
+from .store import stored
 
 #: lengths are summed in ranges of this width first
 RANGE = 1024
@@ -29,10 +30,11 @@ def suffix_sums(lengths: DataFrame, column: str = "length") -> DataFrame:
 
     ``n_docs`` have exactly the length; ``docs_at_least`` and ``tokens_at_least`` sum over it and all greater ones;
     ``docs_at_most`` counts the rest and its own. ``truncated_tokens`` is the corpus total when every text is cut at
-    this length. Rows with a null length are left out. Only histogram rows, one per length, meet in a window.
+    this length. Rows with a null length are left out. The histogram is written once; only
+    its rows, one per length, meet in a window.
     """
-    histogram = (lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("length"))
-                 .agg(F.count("*").alias("n_docs")).withColumn("range", F.expr(f"length div {RANGE}")))
+    histogram = stored(lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("length"))
+                       .agg(F.count("*").alias("n_docs")).withColumn("range", F.expr(f"length div {RANGE}")), "lengths")
     ranges = histogram.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum(F.expr("n_docs * length")).alias("tokens"))
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))

@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 
 import tablewright.llm.bpe as bpe
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 from pyspark.sql import functions as F
 from tablewright.llm.lengths import length_quantile, suffix_sums, token_counts, truncated_total
 

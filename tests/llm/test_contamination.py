@@ -4,7 +4,7 @@ import re
 import pytest
 
 import tablewright.llm.contamination as c
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

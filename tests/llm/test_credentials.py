@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 from tablewright.llm.credentials import N_FEATURES, candidates, described, dictionary_of, planted, redacted, secrets
 
 TOKEN = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"

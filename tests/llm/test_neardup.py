@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 from tablewright.llm.components import components
 from tablewright.llm.neardup import BITS, GrayIndex, _masks, fingerprint, fingerprint_links, forest, gray_rank, near_duplicates, one_of_each
 

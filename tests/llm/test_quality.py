@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 from tablewright.llm.quality import SAME, features, good_documents, quality
 from tablewright.llm.words import Hasher
 

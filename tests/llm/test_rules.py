@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 from tablewright.llm.rules import Condition, learn, quality_rules, statistics, verdict
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")

@@ -3,7 +3,7 @@ import zlib
 
 from dataclasses import replace
 
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 from pyspark.sql import functions as F
 from tablewright.llm.sharding import Shard, grown_by_one, shard_column, sharded, topology
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from llm_data import EDGES
+from llm_data import EDGES, texts  # noqa: F401
 from tablewright.llm.toxicity import fit, passages, segments, toxicity
 
 

@@ -28,7 +28,9 @@ HEADLINES = [
     # chart data
     "chart_box", "chart_histogram_auto", "chart_hexbin", "chart_kde", "chart_top_n",
     # models
-    "split_sizes", "linear_regression", "naive_bayes", "nearest_neighbors",
+    "split_sizes", "linear_regression", "naive_bayes", "nearest_neighbors", "decision_tree_regressor", "random_forest_classifier",
+    "gradient_boosting_regressor", "adaboost_classifier", "kmeans", "dbscan", "clustering_metrics", "silhouette_all_rows",
+    "chart_violin", "csv_round_trip",
 ]
 
 

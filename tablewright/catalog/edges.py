@@ -5,6 +5,7 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..charts import chart_data
 from ..functions.checkpoints import checkpoint_folder
 from ..ml import split_rows, train
 from ..ml.history import append_run, delete_run, read_runs
@@ -124,3 +125,19 @@ def _user_step(spark, sf_dir):
     register("catalog_double", lambda df, params: df.withColumn(params["column"], F.col(params["column"]) * 2))
     return rounded(apply_steps(source(spark, sf_dir, "supplier"), [{"type": "catalog_double", "params": {"column": "s_acctbal"}}])
                    .select("s_suppkey", "s_acctbal"))
+
+
+@query("chart_box_many_groups", """WITH q AS (SELECT l_suppkey, quantile_cont(l_quantity, [0.25, 0.5, 0.75]) AS m FROM lineitem GROUP BY 1)
+    SELECT l.l_suppkey, 'l_quantity' AS metric, count(*) AS n, round(m[1], 6) AS q25, round(m[2], 6) AS median, round(m[3], 6) AS q75,
+    count(*) FILTER (l_quantity < m[1] - 1.5 * (m[3] - m[1]) OR l_quantity > m[3] + 1.5 * (m[3] - m[1])) AS outliers
+    FROM lineitem l JOIN q USING (l_suppkey) GROUP BY l.l_suppkey, m""")
+def _box_many(spark, sf_dir):
+    boxes = chart_data(table(spark, sf_dir, "lineitem"), "box", ["l_suppkey"], ["l_quantity"])
+    return rounded(boxes.select("l_suppkey", "metric", "n", "q25", "median", "q75", "outliers"))
+
+
+steps("pivot_median", "SELECT o_orderstatus, o_orderpriority, o_totalprice FROM orders",
+      [("pivot_table", {"index": "o_orderpriority", "columns_col": "o_orderstatus", "values": "o_totalprice", "aggfunc": "median"})],
+      """SELECT o_orderpriority, round(median(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS F,
+         round(median(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS O, round(median(o_totalprice) FILTER (o_orderstatus = 'P'), 6) AS P
+         FROM orders GROUP BY 1""")

@@ -9,6 +9,8 @@ round is one aggregate for all columns and ranks together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import math
 from dataclasses import dataclass
 
@@ -197,54 +199,30 @@ def _combine(n: int, p: float, method: str, value_of):
     return low if share == 0 else low + (high - low) * share
 
 
-MAX_GROUP_ROWS = 2_000_000
-HOT_BATCH = 20
-
-
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Linear quantiles of a double column per group, as columns q0, q1, ... beside the keys and ``n``.
 
-    A grouped ``percentile`` holds a group's values in one task, which is right for
-    groups up to ``max_group_rows``. Larger groups, few by nature, are searched by
-    rank over the whole cluster instead.
+    All groups share the same passes, whatever their sizes: rows are numbered in the order of
+    keys and value, a group's ranks count from its first number, and the rows at the wanted
+    ranks are picked. No task holds a group, and nothing but bucket bounds reaches the driver.
     """
-    sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("n"))
-    hot = [r for r in sizes.filter(F.col("n") > max_group_rows).collect()]
-    usual = df
-    for row in hot:
-        usual = usual.filter(~_in_group(keys, row))
-    marks = F.percentile(col(value), F.array(*[F.lit(p) for p in probs])).alias("__marks")
-    out = usual.groupBy(*[col(k) for k in keys]).agg(F.count(col(value)).alias("n"), marks)
-    out = out.select(*[col(k) for k in keys], "n", *[F.get("__marks", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
-    if not hot:
-        return out
-    found = []
-    for start in range(0, len(hot), HOT_BATCH):
-        found += _hot_quantiles(df, keys, value, probs, hot[start:start + HOT_BATCH])
-    return out.unionByName(df.sparkSession.createDataFrame(found, out.schema))
-
-
-def _in_group(keys: list[str], row) -> Column:
-    same = F.lit(True)
-    for k in keys:
-        same = same & col(k).eqNullSafe(F.lit(row[k]))
-    return same
-
-
-def _hot_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], rows: list) -> list[tuple]:
-    requests = []
-    for row in rows:
-        inside = F.when(_in_group(keys, row), col(value))
-        for p in probs:
-            requests += [(inside, row["n"], r) for r in _ranks(row["n"], p, "linear")]
-    values = iter(values_at_ranks(df, requests))
-    out = []
-    for row in rows:
-        marks = []
-        for p in probs:
-            low, high = _ranks(row["n"], p, "linear")
-            pair = {low: next(values), high: next(values)}
-            marks.append(_combine(row["n"], p, "linear", pair.__getitem__))
-        out.append((*[row[k] for k in keys], row["n"], *marks))
-    return out
+    from .ordering import INDEX, bucketed, with_row_index
+    names = [f"__key{i}" for i in range(len(keys))]
+    rows = df.select(*[col(k).alias(n) for k, n in zip(keys, names)], col(value).cast("double").alias("__value"))
+    numbered = with_row_index(bucketed(rows.filter(F.col("__value").isNotNull()), [*names, "__value"]))
+    starts = rows.groupBy(*names).agg(F.count("__value").alias("n"))
+    firsts = numbered.groupBy(*names).agg(F.min(INDEX).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    renamed = firsts.withColumnsRenamed({n: n + "_" for n in names})
+    on = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(n + "_")) for n in names))
+    rank = F.col(INDEX) - F.col("__first")
+    picks = []
+    for i, p in enumerate(probs):
+        at = (F.col("__n") - 1) * F.lit(float(p))
+        picks += [F.max(F.when(rank == F.floor(at), F.col("__value"))).alias(f"__low{i}"),
+                  F.max(F.when(rank == F.ceil(at), F.col("__value"))).alias(f"__high{i}"),
+                  F.max(at - F.floor(at)).alias(f"__share{i}")]
+    found = numbered.join(renamed, on).groupBy(*names).agg(*picks).withColumnsRenamed({n: n + "_" for n in names})
+    out = starts.join(found, on, "left")
+    line = lambda i: (F.col(f"__low{i}") + F.when(F.col(f"__share{i}") == 0, F.lit(0.0)).otherwise(
+        (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__share{i}")))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "n", *[line(i).alias(f"q{i}") for i in range(len(probs))])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 # the small helpers below travel with the tasks, so executors need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_ROWS, QUERY_CHUNK_ROWS, MAX_PIVOTS, MAX_PROBES, BLOCK = 20_000, 20_000, 128, 1_000, 256
+CHUNK_ROWS, QUERY_CHUNK_ROWS, LEAST_PROBES, BLOCK = 20_000, 20_000, 1_000, 256
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
@@ -54,9 +54,13 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, p: float = 2.0, chunk_
     id_type, query_type = (dict(d.dtypes)["id"] for d in (train, queries))
     extra = [c for c in train.columns if c not in ("id", "x")]
     extra_types = "".join(f", {c} {dict(train.dtypes)[c]}" for c in extra)
-    seeds = train.select("x").orderBy(F.xxhash64(F.lit(11), "id"), "x").limit(MAX_PROBES).collect()
-    probes = np.array([r["x"] for r in seeds], dtype="float64")
-    pivots = probes[:max(1, min(MAX_PIVOTS, math.isqrt(n_train) // 4))]
+    # cells grow with the square root of the table; the sample decides which are visited, never results
+    n_pivots = max(1, math.isqrt(n_train) // 4)
+    share = 1.2 * max(LEAST_PROBES, n_pivots) / max(1, n_train)
+    ids = train.select("x") if share >= 1 else train.select("x").sample(False, share, 11)
+    seeds = sorted((r["x"] for r in ids.collect()), key=lambda x: hash(tuple(x)))
+    probes = np.array(seeds, dtype="float64")
+    pivots = probes[:n_pivots]
 
     def place(batches):
         for b in batches:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import as_text, col, is_numeric
 from ..functions.ordering import INDEX, bucketed, order_columns, with_row_index
+from ..functions.quantiles import grouped_quantiles
 from ..functions.values import sorted_values
 from ..plans.registry import table_step
 
-_AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": F.median}
+_AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "median": None}
 
 
 def _pivot_values(df: DataFrame, params: dict) -> list | None:
@@ -35,10 +36,19 @@ def pivot_table(df: DataFrame, params: dict, across: list | None) -> DataFrame:
     if kind not in _AGGREGATES:
         raise ValueError(f"unknown aggfunc {kind!r}")
     value = col(params["values"])
+    if kind == "median":
+        rows = _pivot_rows(df, params).select(col(index).alias("__index"), col(params["columns_col"]).alias("__across"),
+                                              value.cast("double").alias("__value"))
+        cells = grouped_quantiles(rows, ["__index", "__across"], "__value", [0.5]).withColumnRenamed("q0", "__cell")
+        return _picked(cells, index, across)
     cell = F.coalesce(F.sum(value), F.lit(0)) if kind == "sum" else _AGGREGATES[kind](value)
     # two steps, so that an absent combination stays null while an empty sum is 0
     cells = (_pivot_rows(df, params).groupBy(col(index).alias("__index"), col(params["columns_col"]).alias("__across"))
              .agg(cell.alias("__cell")))
+    return _picked(cells, index, across)
+
+
+def _picked(cells: DataFrame, index: str, across: list) -> DataFrame:
     picks = [F.max(F.when(F.col("__across") == F.lit(v), F.col("__cell"))).alias(str(v)) for v in across]
     return cells.groupBy(F.col("__index").alias(index)).agg(*picks)
 

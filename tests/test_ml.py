@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import ml
-from tablewright.ml.models import assemble
+from tablewright.ml.models import assemble, fit_model
 from tablewright.ml.neighbors import nearest
 
 
@@ -191,3 +191,34 @@ def test_run_history(spark, tmp_path):
     ml.delete_run(spark, path, 3)
     assert {r["run_id"]: r["active"] for r in ml.read_runs(spark, path).collect()} == {1: False, 2: True}
     assert ml.append_run(spark, path, "dbscan", {}, {}) == 4
+
+
+def test_parameters_without_effect_are_refused(spark):
+    from tablewright.ml.models import check_parameters
+    for name, params in (("decision-tree-regressor", {"no_such": 1}), ("xgboost-regressor", {"reg_lambda": 5}), ("random-forest-classifier", {"ccp_alpha": 0.1})):
+        with pytest.raises(ValueError, match="honour"):
+            check_parameters(name, params)
+    check_parameters("decision-tree-regressor", {"min_samples_split": 2, "max_depth": 3})
+    df = assemble(spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double"), ["x"], "y").select("features", "label")
+    with pytest.raises(ValueError, match="30"):
+        fit_model("decision-tree-regressor", df, {"max_depth": 99})
+
+
+def test_silhouette_of_all_rows(spark):
+    import numpy as np
+    from tablewright.ml.metrics import silhouette
+    rng = np.random.default_rng(1)
+    x, c = rng.normal(size=(40, 3)), rng.integers(0, 3, 40)
+    c[0] = 7  # a cluster of one
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    scores = []
+    for i in range(40):
+        mine = (c == c[i]) & (np.arange(40) != i)
+        if not mine.any():
+            scores.append(0.0)
+            continue
+        a, b = d[i, mine].mean(), min(d[i, c == k].mean() for k in set(c) - {c[i]})
+        scores.append((b - a) / max(a, b))
+    points = spark.createDataFrame([(i, x[i].tolist(), int(c[i])) for i in range(40)], "id long, x array<double>, prediction int")
+    assert abs(silhouette(points) - np.mean(scores)) < 1e-9
+    assert silhouette(points.filter("prediction = 7")) is None

@@ -95,9 +95,35 @@ def test_quantiles_of_whole_numbers_beyond_double_precision(spark):
 def test_grouped_quantiles_with_hot_groups(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"),
                                   ((F.col("id") * 7919) % 3001).cast("double").alias("v"))
-    small = {r["g"]: tuple(r) for r in grouped_quantiles(df, ["g"], "v", [0.25, 0.5]).collect()}
-    narrow = {r["g"]: tuple(r) for r in grouped_quantiles(df, ["g"], "v", [0.25, 0.5], max_group_rows=100).collect()}
-    assert small == narrow and len(small) == 51
+    df = df.unionByName(df.limit(1).select(F.lit("empty").alias("g"), F.lit(None).cast("double").alias("v")))
+    found = {r["g"]: tuple(r)[1:] for r in grouped_quantiles(df, ["g"], "v", [0.25, 0.5]).collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r["g"], []).extend([r["v"]] if r["v"] is not None else [])
+    assert found == {g: (len(v), *(float(np.quantile(v, q)) if v else None for q in (0.25, 0.5))) for g, v in groups.items()}
+
+
+def test_one_order_key_with_nulls_is_split(spark):
+    from tablewright.functions.ordering import bucketed
+    df = spark.range(40_000).select("id", F.lit(1).alias("day"), F.when(F.col("id") % 1000 == 0, 1.0).alias("v"))
+    sizes = [r["count"] for r in bucketed(df, "day", buckets=16).df.groupBy("__bucket").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / 16
+
+
+def test_broadcast_is_decided_by_bytes(spark):
+    from tablewright.functions.lookup import attach, is_small
+    long = spark.range(20).select("id", F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    assert not is_small(long) and is_small(long.select("id"))
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    words = spark.createDataFrame([("a", 1)], "k string, n int")
+    for limit in (0, 1 << 20):
+        import tablewright.functions.lookup as lookup
+        kept, lookup.BROADCAST_BYTES = lookup.BROADCAST_BYTES, limit
+        small, lookup.is_small = lookup.is_small, lambda df, limit=limit: limit > 0
+        try:
+            assert sorted(map(tuple, attach(rows, words, "k").collect()), key=str) == [("a", 1), ("b", None), (None, None)]
+        finally:
+            lookup.BROADCAST_BYTES, lookup.is_small = kept, small
 
 
 def plan(df):

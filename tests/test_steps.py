@@ -131,7 +131,7 @@ def test_ordinal_and_binary(apply):
 def test_label_encode_large_dictionary_without_broadcast(spark, monkeypatch):
     from tablewright.functions import lookup
     from tablewright import apply_steps
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(lookup, "is_small", lambda df, limit=0: False)
     df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("v"), "id")).alias("s"))
     out = apply_steps(df, [{"type": "label_encode", "params": {"column": "s"}}]).collect()
     words = sorted({r["s"] for r in df.collect() if r["s"] is not None})
@@ -262,3 +262,33 @@ def test_preview(spark):
     assert (seen.rows, seen.columns, seen.nulls) == (3, 3, {"id": 0, "x": 1, "x_isnull": 0})
     assert [r["x"] for r in seen.page.collect()] == [None, None]
     assert preview(df, [], limit="all").page.count() == 3
+
+
+def test_group_that_takes_no_part_is_null(apply):
+    def one(text, pattern):
+        return values(apply([(text,)], "s string", ("regex_extraction", {"column": "s", "pattern": pattern, "new_name": "g"})), "g")[0]
+    assert one("b", "(a)|b") is None and one("ba", "(a)|b") is None and one("ab", "(a)|b") == "a"
+    assert one("b", "b|(b)") is None and one("x1", r"x(\d)?") == "1" and one("x", r"x(\d)?") is None and one("x", r"x(\d*)") == ""
+    assert one("a)b", r"[)](b)|(?:c)") == "b" and one("q", "a(b)") is None and one("aa", r"(a)\1") == "a"
+
+
+def test_decimal_bound_keeps_its_scale(spark):
+    from tablewright import apply_steps
+    df = spark.sql("SELECT CAST(v AS DECIMAL(10, 2)) AS v FROM VALUES (10.55), (10.56) AS t(v)")
+    kept = lambda op: [str(r.v) for r in apply_steps(df, [{"type": "filter_rows", "params": {
+        "column": "v", "operator": op, "value": "10.555"}}]).collect()]
+    assert kept(">") == ["10.56"] and kept("==") == []
+
+
+def test_one_hot_refuses_a_name_twice(apply):
+    with pytest.raises(ValueError, match="c_B"):
+        apply([("A", 1), ("B", 2)], "c string, c_B int", ("one_hot_encode", {"column": "c"}))
+
+
+def test_steps_that_need_all_rows_refuse_streams(spark, tmp_path):
+    from tablewright import apply_steps
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "t"))
+    for step in ({"type": "remove_duplicates"}, {"type": "groupby_aggregate", "params": {"group_cols": ["id"], "agg_col": "id"}}):
+        with pytest.raises(ValueError):
+            apply_steps(stream, [step])

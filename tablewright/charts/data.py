@@ -15,8 +15,8 @@ from ..functions.density import density_curves, density_surface
 from ..functions.histograms import bin_counts, edges
 from ..functions.lookup import broadcast_if_small
 from ..functions.quantiles import grouped_quantiles, mixed_quantiles
+from ..functions.statistics import pearson
 from ..functions.values import top_values
-from ..profile.reports import pearson
 from .rules import SUPPORTS, check_columns, suggest_chart
 
 # fixed values: defaults of the drawing options

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import col
+from .columns import col, is_bad
 
 
 def moments(df: DataFrame, columns: list[str], *names: str) -> dict[str, dict]:
@@ -45,3 +47,19 @@ def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     exprs = [F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *exprs).first()
     return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(df.columns)}
+
+
+def pearson(df: DataFrame) -> dict[tuple[int, int], float]:
+    """Correlations of all column pairs of an all-double table without nulls; 0.0 where one is constant.
+
+    One distributed product of the centred columns, whatever their number.
+    """
+    vectors = df.select(array_to_vector(F.array(*[col(c) for c in df.columns])).alias("v"))
+    spread = df.agg(F.count(F.lit(1)).alias("rows"), *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(df.columns)]).first()
+    p = len(df.columns)
+    flat = [is_bad(spread[f"s{i}"]) or spread[f"s{i}"] in (0.0, float("inf")) for i in range(p)]
+    if all(flat):
+        return {(i, j): 0.0 for i in range(p) for j in range(p)}
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return {(i, j): 0.0 if flat[i] or flat[j] else 1.0 if i == j else (0.0 if is_bad(float(matrix[i][j])) else float(matrix[i][j]))
+            for i in range(p) for j in range(p)}

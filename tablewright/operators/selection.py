@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, is_bad, numeric_columns
-from ..functions.statistics import correlations, moments
+from ..functions.statistics import correlations, moments, null_counts, pearson
 from ..plans.registry import table_step
 
 
@@ -70,8 +68,14 @@ def remove_constant_cols(df: DataFrame, params: dict, constants: list[str]) -> D
 
 def _redundant(df: DataFrame, params: dict) -> list[str]:
     limit = float(params.get("threshold", 0.9))
-    found = correlations(df, list(combinations(numeric_columns(df), 2)))
-    return list(dict.fromkeys(b for (_, b), r in found.items() if not is_bad(r) and abs(r) > limit))
+    rows, nulls = null_counts(df.select(*[col(c) for c in numeric_columns(df)]))
+    whole = [c for c, n in nulls.items() if rows and not n]
+    if len(whole) < 2:
+        return []
+    # one product of all columns, not an aggregate per pair
+    found = pearson(df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(whole)]))
+    pairs = ((i, j) for i in range(len(whole)) for j in range(i + 1, len(whole)))
+    return list(dict.fromkeys(whole[j] for i, j in pairs if abs(found[i, j]) > limit))
 
 
 @table_step("remove_highly_correlated", fit=_redundant, streams=True)

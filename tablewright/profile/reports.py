@@ -7,14 +7,13 @@ moments, the exact quantile search, one for what depends on quantiles.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_text, col, numeric_columns
 from ..functions.histograms import bin_counts, edges
 from ..functions.quantiles import mixed_quantiles
-from ..functions.statistics import null_counts
+from ..functions.statistics import null_counts, pearson
 from ..functions.values import top_values, value_counts
 from ..operators.outliers import fences
 
@@ -22,7 +21,6 @@ from ..operators.outliers import fences
 TOP_DISTRIBUTION, TOP_CLASSES, TOP_UNIQUE, SAMPLE_VALUES, HISTOGRAM_BINS = 5, 30, 100, 3, 5
 MISSING_TEXT = "NaN"  # fixed value: how a null value is shown
 
-PAIRWISE_LIMIT = 24
 SMALL_JOIN_ROWS = 100_000
 
 
@@ -230,39 +228,6 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
                  "column_a string, column_b string, correlation double")
 
 
-def pearson(df: DataFrame) -> dict[tuple[int, int], float]:
-    """Correlations of all column pairs of an all-double table without nulls, in one pass.
-
-    Few columns: one aggregate. Many: the library's distributed Gram matrix.
-    """
-    names = df.columns
-    p = len(names)
-    if p > PAIRWISE_LIMIT:
-        return _pearson_matrix(df)
-    spread = [F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(names)]
-    joint = [F.covar_pop(col(names[i]), col(names[j])).alias(f"c{i}_{j}") for i, j in combinations(range(p), 2)]
-    row = df.agg(*spread, *joint).first()
-    out = {}
-    for i in range(p):
-        out[i, i] = 1.0 if _number(row[f"s{i}"]) else 0.0
-        for j in range(i + 1, p):
-            scale = (_number(row[f"s{i}"]) or 0.0) * (_number(row[f"s{j}"]) or 0.0)
-            r = _number(row[f"c{i}_{j}"])
-            out[i, j] = out[j, i] = r / scale if scale and r is not None else 0.0
-    return out
-
-
-def _pearson_matrix(df: DataFrame) -> dict[tuple[int, int], float]:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vectors = VectorAssembler(inputCols=df.columns, outputCol="v", handleInvalid="keep").transform(df)
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    spread = df.agg(*[F.stddev_pop(col(c)).alias(c) for c in df.columns]).first()
-    flat = [not _number(spread[c]) for c in df.columns]
-    p = len(df.columns)
-    return {(i, j): 0.0 if flat[i] or flat[j] else (_number(matrix[i][j]) or 0.0) for i in range(p) for j in range(p)}
-
-
 def report(df: DataFrame, kind: str, column: str | None = None) -> DataFrame:
     """One report by name."""
     whole = {"dataset_summary": dataset_summary, "missing_analysis": missing_analysis,

@@ -55,19 +55,17 @@ def test_duplicates_with_few_and_many_repeats(spark, monkeypatch):
     assert P.duplicate_rows(spark.range(10)) == 0
 
 
-def test_correlation_matrix_wide_equals_pairwise(spark, monkeypatch):
-    from tablewright.profile import reports
+def test_correlation_matrix_equals_numpy(spark):
     rng = np.random.default_rng(0)
-    data = rng.normal(size=(200, 4))
+    data = rng.normal(size=(200, 30)) + 1e8  # far from 0, where sums of plain squares lose digits
     data[:, 3] = 2.0
-    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double, k double")
-    near = {tuple(r)[:2]: r["correlation"] for r in P.correlation_matrix(df).collect()}
-    monkeypatch.setattr(reports, "PAIRWISE_LIMIT", 2)
-    wide = {tuple(r)[:2]: r["correlation"] for r in P.correlation_matrix(df).collect()}
-    assert near.keys() == wide.keys() and near["k", "k"] == 0.0 and near["a", "a"] == 1.0
-    assert all(abs(near[p] - wide[p]) < 1e-12 for p in near)
-    assert abs(near["a", "b"] - np.corrcoef(data[:, 0], data[:, 1])[0, 1]) < 1e-12
-    assert P.correlation_matrix(df.select("a")).count() == 0
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], ", ".join(f"c{i} double" for i in range(30)))
+    for width in (4, 30):
+        found = {tuple(r)[:2]: r["correlation"] for r in P.correlation_matrix(df.select(*df.columns[:width])).collect()}
+        assert len(found) == width * width and found["c3", "c3"] == 0.0 and found["c0", "c0"] == 1.0 and found["c0", "c3"] == 0.0
+        expected = np.corrcoef(data[:, [0, 1, 2]].T)
+        assert all(abs(found[f"c{i}", f"c{j}"] - expected[i, j]) < 1e-7 for i in range(3) for j in range(3))
+    assert P.correlation_matrix(df.select("c0")).count() == 0
 
 
 def test_report_dispatch(spark):

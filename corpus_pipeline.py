@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm.bpe import decoded_column, digest_column, encode
+from tablewright.llm.bpe import encode
 from tablewright.llm.contamination import clean_documents
 from tablewright.llm.credentials import redacted
 from tablewright.llm.neardup import one_of_each
@@ -35,9 +35,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of the bytes they decode to."""
-    ids = F.col("tokens")
-    return encode(docs).select("doc_id", "tokens", F.size(ids).cast("long").alias("n_tokens"), digest_column(ids).alias("ids_sha256"),
-                               F.sha2(decoded_column(ids), 256).alias("decoded_sha256"))
+    ids = encode(docs, outputs=("tokens", "packed", "decoded"))
+    return ids.select("doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),

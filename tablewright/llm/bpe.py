@@ -175,9 +175,25 @@ def _gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.n
     return values[np.repeat(begins - until + lengths, lengths) + np.arange(until[-1] if len(until) else 0)]
 
 
-def _reassembled(kind: pa.DataType):
-    """Rows of a block after each other, places first: the ids of each text in order."""
-    def finish(places_row, counts: list[list[int]], parts: list[np.ndarray]):
+def _cut(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Stretches of bytes as an Arrow binary array."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1,
+                                       [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _token_bytes(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all bytes, and where each id's begin and how many they are."""
+    table = parsed_ranks(content)
+    values = [b""] * (max(table.values(), default=-1) + 1)
+    for token, i in table.items():
+        values[i] = token
+    lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    return np.frombuffer(b"".join(values), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def _reassembled(kind: pa.DataType, outputs: tuple[str, ...], ranks):
+    """Rows of a block after each other, places first: the ids of each text in order, in the wanted forms."""
+    def finish(places_row, counts: list[list[int]], parts: list[np.ndarray], table):
         ids, per_text, payload = places_row
         lengths = np.array([n for c in counts for n in c], dtype=np.int64)
         flat = np.concatenate([np.zeros(0, dtype="<u4"), *parts])
@@ -194,19 +210,28 @@ def _reassembled(kind: pa.DataType):
             sizes = lengths[mine]
             tokens = _gather(flat, begins[mine], sizes)
             run = np.concatenate([[0], np.cumsum(sizes)])
-            offsets = run[cut[begin:end + 1] - cut[begin]].astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[begin:end], kind), listed], names=["id", "tokens"])
+            offsets = run[cut[begin:end + 1] - cut[begin]]
+            made = {"id": pa.array(ids[begin:end], kind)}
+            if "tokens" in outputs:
+                made["tokens"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.astype(np.int32)))
+            if "packed" in outputs:
+                made["packed"] = _cut(tokens.astype("<u4").view(np.uint8), 4 * offsets)
+            if table is not None:
+                data, starts, widths = table
+                until = np.concatenate([[0], np.cumsum(widths[tokens])])
+                made["decoded"] = _cut(_gather(data, starts[tokens], widths[tokens]), until[offsets])
+            yield pa.RecordBatch.from_pydict(made)
             begin = end
 
     def reassembled(batches):
+        table = _token_bytes(ranks.value) if "decoded" in outputs else None
         block, places, counts, parts = None, None, [], []
         for batch in batches:
             for i in range(batch.num_rows):
                 name, bucket, ids, n, payload = (column[i].as_py() for column in batch.columns)
                 if name != block:
                     if block is not None:
-                        yield from finish(places, counts, parts)
+                        yield from finish(places, counts, parts, table)
                     block, places, counts, parts = name, None, [], []
                 if bucket < 0:
                     places = (ids, n, payload)
@@ -214,14 +239,16 @@ def _reassembled(kind: pa.DataType):
                     counts.append(n)
                     parts.append(_unpack(payload, "<u4"))
         if block is not None:
-            yield from finish(places, counts, parts)
+            yield from finish(places, counts, parts, table)
     return reassembled
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None,
-           pattern: str | None = None) -> DataFrame:
-    """``(id, tokens)``: the token ids of each whole text, without special tokens.
+           pattern: str | None = None, outputs: tuple[str, ...] = ("tokens",)) -> DataFrame:
+    """The id and ``tokens``, the token ids of each whole text, without special tokens.
 
+    ``outputs`` asks for the ids as a list (``tokens``), as little-endian unsigned 32-bit integers in one binary
+    (``packed``), or for the bytes they decode to by the token-byte table (``decoded``).
     Each match of ``pattern`` is encoded by the merge ranks in the file ``ranks`` (read on the driver; the public
     50k vocabulary if not given). Null counts as empty, and an empty text has no tokens. Repeated rows stay rows; an
     empty table gives an empty result; other columns are not read. Texts themselves are not shuffled: places and
@@ -238,8 +265,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     encoded = words.mapInArrow(_encoded(shared), schema)
     back = (exploded.where("bucket < 0").unionByName(encoded).repartition(width, "block")
             .sortWithinPartitions("block", "bucket"))
-    return (back.mapInArrow(_reassembled(to_arrow_type(rows.schema["id"].dataType)), f"id {kind}, tokens array<int>")
-            .withColumnRenamed("id", id_col))
+    wanted = [c for c in ("tokens", "packed", "decoded") if c in outputs]
+    kinds = ", ".join([f"id {kind}", *(f"{c} {'array<int>' if c == 'tokens' else 'binary'}" for c in wanted)])
+    task = _reassembled(to_arrow_type(rows.schema["id"].dataType), tuple(wanted), shared)
+    return back.mapInArrow(task, kinds).withColumnRenamed("id", id_col)
 
 
 def decoded_column(tokens: Column, ranks: str | None = None) -> Column:
@@ -247,12 +276,7 @@ def decoded_column(tokens: Column, ranks: str | None = None) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(read_ranks(ranks or public_ranks()))
 
     def decoded(lists: pa.Array) -> pa.Array:
-        table = parsed_ranks(shared.value)
-        values = [b""] * (max(table.values(), default=-1) + 1)
-        for token, i in table.items():
-            values[i] = token
-        lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-        begins, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(values), dtype=np.uint8)
+        data, begins, lengths = _token_bytes(shared.value)
         out = []
         for one in lists:
             ids = one.values.to_numpy() if one.is_valid else np.zeros(0, dtype=np.int32)
@@ -261,13 +285,3 @@ def decoded_column(tokens: Column, ranks: str | None = None) -> Column:
         return pa.array(out, pa.binary())
     decoded.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(decoded, "binary")(tokens)
-
-
-def digest_column(tokens: Column) -> Column:
-    """SHA-256, in lowercase hex, of token ids as little-endian unsigned 32-bit integers."""
-    def digest(lists: pa.Array) -> pa.Array:
-        import hashlib
-        return pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b"").hexdigest()
-                         for x in lists], pa.string())
-    digest.__annotations__ = {"lists": pa.Array, "return": pa.Array}
-    return F.arrow_udf(digest, "string")(tokens)

@@ -79,10 +79,10 @@ def _toxicity(spark, sf_dir):
 
 @query("op8_bpe")
 def _bpe(spark, sf_dir):
-    from .bpe import decoded_column, digest_column, encode
-    tokens = encode(table(spark, sf_dir, "documents"))
-    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), digest_column(F.col("tokens")).alias("ids_sha256"),
-                         F.sha2(decoded_column(F.col("tokens")), 256).alias("decoded_sha256"))
+    from .bpe import encode
+    ids = encode(table(spark, sf_dir, "documents"), outputs=("packed", "decoded"))
+    return ids.select("doc_id", F.expr("octet_length(packed) div 4").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 #: the registered topology: 40 shards in 4 regions of 2 racks; the grown one has a fifth region for shard 40

@@ -34,15 +34,17 @@ def test_encode_and_decode(texts, encoding, monkeypatch, block_bytes):
     monkeypatch.setattr(bpe, "BLOCK_BYTES", block_bytes)  # small: many blocks share words
     rng = random.Random(7)
     rows = EDGES + [(100 + i, strange(rng) + "<|endoftext|>" * (i % 2)) for i in range(60)]
-    out = bpe.encode(texts(rows)).select("doc_id", "tokens", bpe.digest_column(F.col("tokens")).alias("digest"),
-                                         bpe.decoded_column(F.col("tokens")).alias("back")).collect()
+    found = bpe.encode(texts(rows), outputs=("tokens", "packed", "decoded"))
+    out = found.select("doc_id", "tokens", F.sha2("packed", 256).alias("digest"), F.col("decoded").alias("back"),
+                       bpe.decoded_column(F.col("tokens")).alias("again")).collect()
+    assert all(r.back == r.again for r in out)
     expected = []
     for i, t in rows:
         ids = encoding.encode_ordinary(t or "")
         expected.append((i, ids, hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), (t or "").encode()))
     key = lambda r: (str(r[0]), r[3])
     assert sorted(((r.doc_id, r.tokens, r.digest, bytes(r.back)) for r in out), key=key) == sorted(expected, key=key)
-    assert bpe.encode(texts([])).collect() == []
+    assert bpe.encode(texts([])).collect() == [] and bpe.encode(texts([])).columns == ["doc_id", "tokens"]
 
 
 def test_token_counts(texts, encoding):

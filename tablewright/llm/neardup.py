@@ -178,11 +178,16 @@ def fingerprint_links(codes: DataFrame, column: str = "fp", most: int = 2) -> Da
             return edges
 
 
-def grouped(hashed: DataFrame, id_col: str = "doc_id", most: int = 2) -> DataFrame:
-    """``(fp, component_id)`` for every fingerprint of ``(id, fp)`` rows."""
+def rooted(hashed: DataFrame, id_col: str = "doc_id", most: int = 2) -> DataFrame:
+    """``(fp, least, root)`` for every fingerprint of ``(id, fp)`` rows: its smallest id and its group's root fingerprint."""
     codes = hashed.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = stored(components(fingerprint_links(codes, "fp", most)), "roots")
-    named = codes.join(roots, codes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return codes.join(roots, codes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def grouped(hashed: DataFrame, id_col: str = "doc_id", most: int = 2) -> DataFrame:
+    """``(fp, component_id)`` for every fingerprint of ``(id, fp)`` rows."""
+    named = rooted(hashed, id_col, most)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(smallest, "root").select("fp", "component_id")
 
@@ -206,10 +211,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                 most: int = 2) -> DataFrame:
-    """The documents with one row of each near-duplicate group: that of the smallest id (any of its repeats)."""
+    """The documents with one row of each near-duplicate group: that of the smallest id (any of its repeats).
+
+    Groups are told apart by their fingerprints, so a group without any id keeps a row like any other, and an id on
+    different texts keeps one in each of their groups where it is the smallest.
+    """
     marked = docs.withColumn("__fp", fingerprint_column(words)(F.col(text_col)))
     hashed = stored(marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), "fingerprints")
-    kept = (hashed.join(grouped(hashed, "id", most), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-            .groupBy("id").agg(F.min("fp").alias("fp")))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp"))
+    kept = rooted(hashed, "id", most).groupBy("root").agg(first.alias("first")).select("first.id", "first.fp")
     on = marked[id_col].eqNullSafe(kept.id) & (marked["__fp"] == kept.fp)
     return marked.join(kept, on, "left_semi").dropDuplicates([id_col, "__fp"]).select(*docs.columns)

@@ -129,3 +129,10 @@ def test_edges(texts):
     assert kept.columns == ["doc_id", "text", "id", "label"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, 6, 7, None]
     assert near_duplicates(texts([])).collect() == [] and one_of_each(texts([])).collect() == []
+
+
+def test_one_row_of_each_group_without_or_with_a_repeated_id(texts):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, b), (1, c), (1, d), (2, d), (None, d)]
+    kept = one_of_each(texts(rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", c), ("1", d), ("None", a), ("None", b)]

@@ -15,10 +15,17 @@ from pyspark.sql import DataFrame, functions as F
 from .store import stored
 from .words import Block, Hasher, packed_strings, portions
 
-#: a candidate is a run of these characters with a digit and a letter, or anything assigned to a telling name
+#: a candidate is a run of these characters with a digit and a letter, anything assigned to a name that holds a telling
+#: word, or the password of a URL
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-ASSIGNED = re.compile(r"""(?i)\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?\b"""
-                      r"""["']?\s*(?:=>|:=|=|:)\s*["']?([^\s"'<>]{6,200})""")
+LEAST_RUN, LEAST_ASSIGNED = 12, 6
+#: where a run goes over from a name to its value
+SIGN_IN_RUN = re.compile(r"(?<=[A-Za-z0-9_-])=+(?=[^=])")
+#: up to where the value begins; names are taken whole, so that long words are read once
+ASSIGNED = re.compile(r"""(?i)(?<![\w.-])(?=[\w.-]*?(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential))"""
+                      r"""[\w.-]++\\?["']?\]?\s*+(?:=>|:=|==?|:)\s*+\\?["']?(?:(?:bearer|basic|digest|token)\s++)?""")
+VALUE = re.compile(r"""[^\s"'<>]{6,}""")
+URL_PASSWORD = re.compile(r"""://[^\s/:@"'<>]*+:([^\s/"'<>]+)@""")
 HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential")
 WORD = re.compile(r"[A-Za-z]+")
 #: how far to either side the words around a candidate are read
@@ -35,20 +42,51 @@ N_FEATURES = len(SHAPES) + len(NEIGHBOURS) + HASHED
 #: size of the dictionary, and of the set of planted findings a forest is trained on where none are given
 DICTIONARY = 20_000
 PLANTED_DOCUMENTS = 1500
+PLANTED_IN_EACH = 10
 TREES, DEPTH = 40, 10
 LEAST_SCORE = 0.5
 
 
+def _mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
+def _runs(text: str):
+    """Runs with a digit and a letter; one of a name, ``=`` and a value gives the value, and the name if it is as long as a run."""
+    for m in RUN.finditer(text):
+        run, (start, stop) = m.group(), m.span()
+        if not _mixed(run):
+            continue
+        sign = SIGN_IN_RUN.search(run)
+        parts = []
+        if sign:
+            name, value = run[:sign.start()], run[sign.end():]
+            if len(name) >= LEAST_RUN and _mixed(name):
+                parts.append((start, start + len(name)))
+            if len(value) >= LEAST_ASSIGNED and _mixed(value):
+                parts.append((start + sign.end(), stop))
+        yield from parts or [(start, stop)]
+
+
+def _assigned(text: str):
+    """Values of telling names, each up to a space, quote or angle bracket; assignments inside a value are part of it."""
+    stop = 0
+    for m in ASSIGNED.finditer(text):
+        value = VALUE.match(text, m.end()) if m.end() >= stop else None
+        if value:
+            yield value.span()
+            stop = value.end()
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Character ranges of the candidates of a text, in order, none overlapping."""
     found = []
     if re.search("[0-9]", text):
-        for m in RUN.finditer(text):
-            run = m.group()
-            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-                found.append(m.span())
+        found += _runs(text)
     if HINT.search(text):
-        found += [m.span(1) for m in ASSIGNED.finditer(text)]
+        found += _assigned(text)
+    if "://" in text:
+        found += [m.span(1) for m in URL_PASSWORD.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a < out[-1][1]:
@@ -144,26 +182,36 @@ def scanned(docs: DataFrame, dictionary: set[str], id_col: str = "doc_id", text_
 
 
 HEX, ALPHA = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+PUNCTUATION = "!#$%^&*.-_~@+?"
 
 
 def planted(text: str, seed: int) -> list[tuple[str, int, int, bool]]:
     """Labelled findings for training: the text with a made-up secret or a lookalike between two of its words.
 
-    Values are random; the words around them are the text's own. ``(text, start, stop, is_secret)``.
+    Values are random; the words around them are the text's own. ``(text, start, stop, is_secret)``, where the range is
+    what ``candidates`` cuts out there, as in a scan.
     """
     rng = np.random.default_rng(seed)
     pick = lambda alphabet, n: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
     words = text.split(" ")
     word = lambda: re.sub(r"[^A-Za-z]", "", words[int(rng.integers(0, len(words)))]).lower() or "item"
-    name = str(rng.choice(["token", "secret", "api_key", "apikey", "access_token", "auth_token", "password", "client_secret"]))
+    name = str(rng.choice(["token", "secret", "api_key", "apikey", "access_token", "auth_token", "password", "client_secret",
+                           "DB_PASSWORD", "db.password", "github_token", "secretKey", "AUTH_TOKEN_PROD", "smtp_passwd"]))
     sign, quote = str(rng.choice([" = ", "=", ": ", ":"])), str(rng.choice(['"', "'", ""]))
     size = int(rng.choice([24, 32, 40, 64]))
     uuid = "-".join(pick(HEX, n) for n in (8, 4, 4, 4, 12))
+    odd = pick(ALPHA, 3) + pick("0123456789", 1) + pick(PUNCTUATION, 1) + pick(ALPHA + PUNCTUATION, int(rng.integers(2, 14)))
+    pieces = [pick(ALPHA, int(n)) for n in rng.integers(2, 5, 3)] + [pick("0123456789", 2)]
+    parted = "".join(pieces[int(i)].lower() + pick(PUNCTUATION, 1) * (k < 3) for k, i in enumerate(rng.permutation(4)))
+    long = pick(ALPHA + "._-", int(rng.integers(200, 600)))
     made = [
         (f"{name}{sign}{quote}", pick(HEX, size), quote, True), (f"{name}{sign}{quote}", pick(ALPHA, size), quote, True),
         (f"{name}{sign}{quote}", pick(ALPHA + "+/", size) + "=", quote, True), ("aws key ", "AKIA" + pick(ALPHA[:26] + "234567", 16), "", True),
         (f"{name}{sign}{quote}", "ghp_" + pick(ALPHA, 36), quote, True), ("Authorization: Bearer ", "eyJ" + pick(ALPHA, size), "", True),
         (f"password{sign}{quote}", pick(ALPHA, 10) + pick("0123456789", 2), quote, True),
+        (f"{name}{sign}{quote}", odd, quote, True), (f"{name}{sign}{quote}", parted, quote, True), (f"{name}{sign}{quote}", long, quote, True),
+        (f"{name}{sign}{quote}", pick(ALPHA, 6) + pick("0123456789", 2), quote, True),
+        (f"{word()}://{word()}:", odd, f"@{word()}.example.com/{word()}", True), (f"postgres://{word()}:", pick(ALPHA, 8) + pick("0123456789", 1), "@db:5432/x", True),
         ("commit ", pick(HEX, 40), "", False), ("sha256 checksum ", pick(HEX, 64), "", False), ("md5 ", pick(HEX, 32), "", False),
         (f"uuid{sign}{quote}", uuid, quote, False), ("id ", uuid, "", False), ("data:image/png;base64,", pick(ALPHA + "+/", size), "", False),
         (f"https://{word()}.example.com/", f"{word()}-{word()}-{pick('0123456789', 4)}", "", False),
@@ -171,9 +219,12 @@ def planted(text: str, seed: int) -> list[tuple[str, int, int, bool]]:
         ("", f"{word()}{word()}{word()}{pick('0123456789', 4)}", "", False), (f"{name}{sign}{quote}", f"your_{name}_here_123", quote, False),
         (f"{name}{sign}{quote}", "x" * size, quote, False), (f"{name}{sign}{quote}", f"example{word()}{word()}1", quote, False),
         ("", f"{word()}_{word()}_{word()}_{pick('0123456789', 2)}", "", False),
+        (f"{name}{sign}{quote}", word(), quote, False), (f"{name}{sign}", f"{word()}.{word()}({word()})", "", False),
+        ("author: ", word(), "", False), ("passenger: ", word(), "", False), (f"max_tokens{sign}", pick("0123456789", 6), "", False),
+        (f"{word()}={word()}", pick("0123456789", 6), "", False), (f"https://{word()}:{word()}", "", f"@{word()}.example.com/", False),
     ]
     out = []
-    for k in rng.choice(len(made), 4, replace=False):
+    for k in rng.choice(len(made), PLANTED_IN_EACH, replace=False):
         before, value, after, secret = made[int(k)]
         if rng.random() < 0.15:  # shouted like any other text
             before, value = before.upper(), value.upper() if set(value) <= set(HEX + "-") else value
@@ -181,7 +232,8 @@ def planted(text: str, seed: int) -> list[tuple[str, int, int, bool]]:
         head = " ".join(words[:at])
         head += " " * bool(head) + before
         tail = after + str(rng.choice(["", ".", "!!", "###", ","])) * (after != "" or quote == "") + " " + " ".join(words[at:])
-        out.append((head + value + tail, len(head), len(head) + len(value), secret))
+        whole, start, stop = head + value + tail, len(head), len(head) + len(value)
+        out += [(whole, a, b, secret) for a, b in candidates(whole) if a < stop and b > start]
     return out
 
 

@@ -62,3 +62,38 @@ def test_given_findings(spark, texts):
     assert {r.doc_id: r.is_secret for r in found} == {1: True, 2: False}
     with pytest.raises(ValueError):
         secrets(texts([(1, f"token = {TOKEN}")]), labelled.where("is_secret"))
+
+
+LONG = "".join(f"k{i * 7919 % 1000:03d}Zq" for i in range(60))
+FORMS = [('DB_PASSWORD="{}"', "S3cr3t!pass#9"), ("client_secret: {}", "q9!Xz@71kk"), ("github_token={}", "ab.cd!12.ef"),
+         ("postgres://user:{}@host/db", "pw7!xQ2z"), ("db.password = '{}'", "zK4$wq8Lp"), ("secret_key_prod={}", "9f86d081884c7d659a2feaa0c55ad015"),
+         ("access_token: {}", LONG), ("password={}", "hV7kQ2xz")]
+
+
+def test_candidates_of_every_form():
+    for form, value in FORMS:
+        text = f"before it {form.format(value)} after it"
+        assert [text[a:b] for a, b in candidates(text)] == [value], form
+    assert candidates("a=" + "b" * 20 + " id=" + "c1" * 3 + " x") == []
+    assert candidates("token=x" * 20_000) == [(6, 140_000)] and candidates("://a:" * 20_000 + " token" * 20_000) == []
+
+
+def test_planted_ranges_are_candidates():
+    for seed in range(200):
+        for text, a, b, _ in planted("some words of a text", seed):
+            assert (a, b) in candidates(text)
+
+
+def test_every_form_is_found_and_redacted(docs, texts):
+    _, rows = docs
+    plain = [t for i, t in rows if i < 200]
+    forms = [(3000 + k, f"{plain[k]} {form.format(value)} {plain[k + 50]}") for k, (form, value) in enumerate(FORMS)]
+    prose = [(4000 + k, f"{plain[k]} {x} {plain[k + 50]}") for k, x in enumerate(("author: Evening", "the password: mountain", "passenger: window"))]
+    table = texts(rows + forms + prose)
+    found = {(r.doc_id, r.start, r.stop): r.is_secret for r in secrets(table).collect() if r.doc_id >= 3000}
+    clean = {r.doc_id: r.text for r in redacted(table).where("doc_id >= 3000").collect()}
+    for (i, text), (form, value) in zip(forms, FORMS):
+        start = text.index(value)
+        assert found[i, start, start + len(value)], form
+        assert clean[i] == text.replace(value, "[SECRET]"), form
+    assert all(clean[i] == t for i, t in prose)

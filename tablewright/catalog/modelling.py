@@ -237,7 +237,7 @@ def _confusion(spark, sf_dir):
     SELECT (SELECT count(DISTINCT label) FROM embeddings) AS clusters, CAST(NULL AS DOUBLE) AS inertia,
     round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM t""")
 def _clustering(spark, sf_dir):
-    return rounded(clustering_metrics(_points(spark, sf_dir).withColumnRenamed("label", "prediction"), sample=10_000))
+    return rounded(clustering_metrics(_points(spark, sf_dir).withColumnRenamed("label", "prediction"), euclidean=True))
 
 
 # runs: one per event type, scored by how well a constant describes its values

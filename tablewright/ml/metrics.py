@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
+from .neighbors import BLOCK, distances
 
 SEED = 42
+#: rows of a block that a task compares with another block
+BLOCK_ROWS = 4_000
 
 
 def regression_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction", prefix: str = "") -> DataFrame:
@@ -113,11 +118,59 @@ def sampled_silhouette(points: DataFrame, rows: int, seed: int = SEED) -> float
     return scored.agg(F.avg("s")).first()[0]
 
 
-def clustering_metrics(points: DataFrame, inertia: float | None = None, sample: int | None = None) -> DataFrame:
+def euclidean_silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS) -> float | None:
+    """Mean silhouette of all ``points(id, x, prediction)`` in plain Euclidean distance.
+
+    Every row is compared with every row: blocks of about ``block_rows`` distinct points meet in tasks, which hand on one sum
+    per row and cluster. Equal points of one cluster are compared once and counted as often as they occur.
+    """
+    keys = [F.xxhash64(F.lit(k), "x", "prediction").alias(f"k{k}") for k in (1, 2)]
+    distinct = (points.select(F.col("x").cast("array<double>").alias("x"), "prediction").groupBy("x", "prediction")
+                .agg(F.count(F.lit(1)).alias("w")).select("x", "prediction", "w", *keys))
+    size = distinct.agg(F.count(F.lit(1)), F.sum("w"), F.count_distinct("prediction")).first()
+    if size[2] < 2 or size[2] >= size[1]:
+        return None
+    blocks = math.ceil(size[0] / block_rows)
+    numbers, own = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod("k1", F.lit(blocks)).cast("int")
+    left = distinct.select("k1", "k2", "x", own.alias("a"), F.explode(numbers).alias("b"))
+    right = distinct.select("x", "prediction", "w", own.alias("b"), F.explode(numbers).alias("a"))
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"k1": [], "k2": [], "cluster": [], "s": []})
+        names, at = np.unique(b["prediction"].to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(len(names)))
+        x, y = (np.array(v.tolist(), dtype="float64") for v in (a["x"], b["x"].iloc[order]))
+        weights = b["w"].to_numpy(dtype="float64")[order]
+        s = np.concatenate([np.add.reduceat(distances(x[i:i + BLOCK], y, 2) * weights, starts, axis=1) for i in range(0, len(x), BLOCK)])
+        return pd.DataFrame({"k1": np.repeat(a["k1"].to_numpy(), len(names)), "k2": np.repeat(a["k2"].to_numpy(), len(names)),
+                             "cluster": np.tile(names, len(x)), "s": s.ravel()})
+
+    kind = dict(points.dtypes)["prediction"]
+    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, f"k1 long, k2 long, cluster {kind}, s double")
+    sizes = distinct.groupBy(F.col("prediction").alias("cluster")).agg(F.sum("w").alias("n"))
+    total = parts.groupBy("k1", "k2", "cluster").agg(F.sum("s").alias("s")).join(sizes, "cluster")
+    mine = F.col("cluster") == F.col("prediction")
+    rows = (total.join(distinct.select("k1", "k2", "prediction", "w"), ["k1", "k2"]).groupBy("k1", "k2").agg(
+        F.max("w").alias("w"), F.max(F.when(mine, F.col("n"))).alias("n"),
+        F.max(F.when(mine, F.try_divide(F.col("s"), F.col("n") - 1))).alias("inner"),
+        F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("near")))
+    scale = F.greatest("inner", "near")
+    score = F.when((F.col("n") == 1) | (scale <= 0), 0.0).otherwise((F.col("near") - F.col("inner")) / scale)
+    return rows.agg(F.sum(score * F.col("w")) / F.sum("w")).first()[0]
+
+
+def clustering_metrics(points: DataFrame, inertia: float | None = None, sample: int | None = None,
+                       euclidean: bool = False) -> DataFrame:
     """Clusters without noise, inertia if known, and the silhouette of ``points(id, x, prediction)``.
 
-    The silhouette is that of all rows in squared distances; ``sample`` asks for plain distances within a sample.
+    The silhouette is that of all rows, in squared distances or with ``euclidean`` in plain ones, which compares all
+    pairs of rows; ``sample`` asks for plain distances within a sample.
     """
     clusters = points.filter(F.col("prediction") >= 0).select("prediction").distinct().count()
-    row = (clusters, inertia, silhouette(points) if sample is None else sampled_silhouette(points, sample))
-    return points.sparkSession.createDataFrame([row], "clusters bigint, inertia double, silhouette double")
+    if sample is not None:
+        score = sampled_silhouette(points, sample)
+    else:
+        score = euclidean_silhouette(points) if euclidean else silhouette(points)
+    return points.sparkSession.createDataFrame([(clusters, inertia, score)], "clusters bigint, inertia double, silhouette double")

@@ -222,3 +222,31 @@ def test_silhouette_of_all_rows(spark):
     points = spark.createDataFrame([(i, x[i].tolist(), int(c[i])) for i in range(40)], "id long, x array<double>, prediction int")
     assert abs(silhouette(points) - np.mean(scores)) < 1e-9
     assert silhouette(points.filter("prediction = 7")) is None
+
+
+def test_plain_silhouette_of_all_rows(spark, monkeypatch):
+    import numpy as np
+    from tablewright.catalog import modelling
+    from tablewright.ml import metrics
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 3)) for c in (0, 2, 5)] + [np.full((5, 3), 9.0), np.full((1, 3), -4.0)])
+    x[1], label = x[0], np.repeat([0, 1, 2, 3, 7], [60, 60, 60, 5, 1])
+    points = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, x array<double>, prediction int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    scores = []
+    for i, c in enumerate(label):
+        if (label == c).sum() == 1:
+            scores.append(0.0)
+            continue
+        a = d[i, label == c].sum() / ((label == c).sum() - 1)
+        b = min(d[i, label == o].mean() for o in set(label) - {c})
+        scores.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+    for rows in (40, 1000):
+        assert abs(metrics.euclidean_silhouette(points, rows) - np.mean(scores)) < 1e-9
+    assert metrics.euclidean_silhouette(points.filter("prediction = 7")) is None
+
+    # the registered query covers all rows: a sample of any size is a caller's option
+    def refused(*args, **kwargs):
+        raise AssertionError("sampled")
+    monkeypatch.setattr(metrics, "sampled_silhouette", refused)
+    assert modelling._clustering(spark, "/root/testdata/sf0.001").first()["silhouette"] is not None

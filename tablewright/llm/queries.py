@@ -170,3 +170,9 @@ def _licenses(spark, sf_dir):
 def _secrets(spark, sf_dir):
     from .credentials import secrets
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def _alignment(spark, sf_dir):
+    from .alignment import link_support
+    return link_support(table(spark, sf_dir, "documents"))

@@ -202,3 +202,9 @@ FROM cut""")
 def _fill_in_middle(spark, sf_dir):
     from .middles import fill_in_middle
     return fill_in_middle(table(spark, sf_dir, "documents"), outputs=("digests",))
+
+
+@query("op11_nearest")
+def _nearest(spark, sf_dir):
+    from .collisions import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

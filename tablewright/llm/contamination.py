@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import stored
+from .store import stored, unused
 from .words import Block, Hasher, packed_strings, portions
 
 WINDOW = 13
@@ -181,15 +181,23 @@ class Windows:
             yield self.parts[i], self.uses[i]
 
 
-def _portions(spark: SparkSession, words: DataFrame) -> list:
-    """The numbered queries, broadcast in portions of at most about ``QUERY_BYTES``; at least one, perhaps empty."""
-    return [spark.sparkContext.broadcast((items, *_numbered(lists)))
-            for items, lists in list(query_passes(words)) or [([], [])]]
+def _search(index: DataFrame, words: DataFrame, task, schema: str) -> list[DataFrame]:
+    """Run ``task(portion)`` over the segments for each portion of the numbered queries, about ``QUERY_BYTES`` at most.
 
-
-def _search(index: DataFrame, words: DataFrame, task, schema: str) -> DataFrame:
-    """Run ``task(portion)`` over the segments for each portion of the queries."""
-    return reduce(DataFrame.unionByName, [index.mapInArrow(task(x), schema) for x in _portions(index.sparkSession, words)])
+    Of several portions each one's finds are written and its broadcast is given up before the one after the next is read.
+    """
+    context, found = index.sparkSession.sparkContext, []
+    passes = query_passes(words)
+    portion = next(passes, ([], []))
+    while portion is not None:
+        items, lists = portion
+        shared = context.broadcast((items, *_numbered(lists)))
+        here, portion = index.mapInArrow(task(shared), schema), next(passes, None)
+        if portion is not None:
+            here = stored(here, "finds")
+            shared.destroy()
+        found.append(here)
+    return found
 
 
 def _kind(index: DataFrame) -> str:
@@ -221,7 +229,8 @@ def phrase_matches(index: DataFrame, queries: DataFrame, id_col: str = "item_id"
                          pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32()),
                          pa.array(seg.n_words[doc], pa.int64())], names=["id", "item", "offset", "start", "n_words"])
         return search
-    return _search(index, query_words(queries, id_col, text_col), task, f"id {_kind(index)}, item string, offset int, start int, n_words long")
+    schema = f"id {_kind(index)}, item string, offset int, start int, n_words long"
+    return reduce(DataFrame.unionByName, _search(index, query_words(queries, id_col, text_col), task, schema))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, span: int, id_col: str = "item_id",
@@ -244,7 +253,8 @@ def proximity_matches(index: DataFrame, queries: DataFrame, span: int, id_col: s
                                 [seg.ids.take(pa.array(doc)), pa.array([item] * len(doc), pa.string()),
                                  pa.array((found - seg.first[doc]).astype(np.int32))], names=["id", "item", "start"])
         return search
-    return _search(index, query_words(queries, id_col, text_col), task, f"id {_kind(index)}, item string, start int")
+    found = _search(index, query_words(queries, id_col, text_col), task, f"id {_kind(index)}, item string, start int")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _merged(pairs: list[tuple[int, int]]) -> list[dict]:
@@ -304,8 +314,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index = build_index(docs, id_col, text_col)
     schema = (f"segment long, place int, id {_kind(index)}, n_words long, stretches array<struct<start:int,until:int>>, "
               "items array<string>")
-    parts = [index.mapInArrow(_hits(shared, width), schema)
-             for shared in _portions(docs.sparkSession, query_words(benchmark, item_col, item_text_col))]
+    parts = _search(index, query_words(benchmark, item_col, item_text_col), lambda shared: _hits(shared, width), schema)
     found = parts[0]
     if len(parts) > 1:
         found = (reduce(DataFrame.unionByName, parts).groupBy("segment", "place")
@@ -321,9 +330,14 @@ def is_contaminated() -> Column:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that are contaminated; rows without id are judged by their text like any other."""
-    kept = docs.withColumn("__row", F.struct(F.col(id_col), F.xxhash64(text_col)))
-    bad = (contamination(kept.select("__row", text_col), benchmark, "__row", text_col).where(is_contaminated())
-           .select(F.col(f"__row.{id_col}").alias("bad_id"), F.col("__row.col2").alias("bad_text")).distinct())
-    on = kept[id_col].eqNullSafe(bad.bad_id) & kept["__row.col2"].eqNullSafe(bad.bad_text)
-    return kept.join(bad, on, "left_anti").select(*docs.columns)
+    """The documents without those that are contaminated, with all their columns.
+
+    Rows without id are judged by their text like any other, null and empty texts are never contaminated, repeated
+    rows stay or go together, an empty table stays empty and an empty benchmark leaves all rows.
+    """
+    row, bad_name = unused(docs, "row", "bad")
+    kept = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    bad = (contamination(kept.select(row, text_col), benchmark, row, text_col).where(is_contaminated())
+           .select(F.struct(F.col(f"{row}.id").alias("id"), F.col(f"{row}.text").alias("text")).alias("bad")).distinct())
+    on = kept[row]["id"].eqNullSafe(F.col(f"{bad_name}.id")) & kept[row]["text"].eqNullSafe(F.col(f"{bad_name}.text"))
+    return kept.join(bad.withColumnRenamed("bad", bad_name), on, "left_anti").select(*docs.columns)

@@ -12,7 +12,8 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from .store import stored
+from ..functions.lookup import broadcast_if_small
+from .store import frequent, stored, unused
 from .words import Block, Hasher, packed_strings, portions
 
 #: a candidate is a run of these characters with a digit and a letter, anything assigned to a name that holds a telling
@@ -152,9 +153,9 @@ def _word_counts(batches):
 
 
 def dictionary_of(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> set[str]:
-    """The most frequent words of 4 to 12 bytes, counted over all texts; ties go to the smaller word."""
+    """The most frequent words of 4 to 12 bytes, counted over all texts: at most ``size``, none that ties with one left out."""
     counted = docs.select(text_col).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()}
+    return set(frequent(stored(counted, "words"), size).select("word").toArrow()["word"].to_pylist())
 
 
 def _scan(shared):
@@ -249,7 +250,7 @@ def _planted_rows(batches):
 def planted_findings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most: int = PLANTED_DOCUMENTS) -> DataFrame:
     """Labelled findings in about ``most`` documents chosen by hash (all of them, if there are fewer)."""
     total = docs.count()
-    seed = F.xxhash64(F.lit(9), F.col(id_col))
+    seed = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(9), text_col)).otherwise(F.xxhash64(F.lit(9), F.col(id_col)))
     rows = docs.select(F.col(text_col).alias("text"), seed.alias("seed"))
     rows = rows.where(F.pmod("seed", F.lit(2**32)) < int(min(1.0, most / max(1, total)) * 2**32))
     return rows.mapInArrow(_planted_rows, "text string, start int, stop int, is_secret boolean")
@@ -272,11 +273,11 @@ def train(labelled: DataFrame, dictionary: set[str]) -> RandomForestClassificati
     findings only, not on how they were spread.
     """
     spark = labelled.sparkSession
-    rows = (labelled.select("text", "start", "stop", "is_secret")
-            .mapInArrow(_labelled_features(spark.sparkContext.broadcast(dictionary)), "features array<double>, label double").collect())
-    if len({r.label for r in rows}) < 2:
+    rows = stored(labelled.select("text", "start", "stop", "is_secret").mapInArrow(
+        _labelled_features(spark.sparkContext.broadcast(dictionary)), "features array<double>, label double"), "findings")
+    if rows.select("label").distinct().count() < 2:
         raise ValueError("the labelled findings must hold secrets and others")
-    ordered = spark.createDataFrame(sorted((r.label, r.features) for r in rows), "label double, features array<double>").coalesce(1)
+    ordered = rows.coalesce(1).sortWithinPartitions("label", "features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=2, seed=11)
     return forest.fit(ordered.select("label", array_to_vector("features").alias("features")))
 
@@ -299,15 +300,23 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "d
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with each secret replaced by ``[SECRET]``; all rows stay, and texts without secrets as they are."""
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    marked = docs.withColumn("__key", key)
-    found = secrets(marked, labelled, "__key", text_col).where("is_secret")
-    spans = (found.groupBy("__key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-             .select(F.col("__key.id").alias("__id"), F.col("__key.h").alias("__h"), "spans"))
-    joined = marked.join(spans, marked["__key.id"].eqNullSafe(F.col("__id")) & (marked["__key.h"] == F.col("__h")), "left")
-    return joined.select(*[F.when(F.col("spans").isNotNull(), _redact(F.col(text_col), F.col("spans"))).otherwise(F.col(c)).alias(c)
-                           if c == text_col else F.col(c) for c in docs.columns])
+    """The documents with each secret replaced by ``[SECRET]``; all rows stay, and texts without secrets as they are.
+
+    Null and empty texts stay, repeated rows are all cut, rows without id are told apart by a hash of their texts, an
+    empty table stays empty, and other columns pass, whatever their names.
+    """
+    key, = unused(docs, "key")
+    marked = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    found = secrets(marked, labelled, key, text_col).where("is_secret")
+    spans = (found.groupBy(F.col(key).alias("key")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+             .select(F.struct(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "spans").alias("cut")))
+    cut, = unused(marked, "cut")
+    spans = stored(spans.withColumnRenamed("cut", cut), "spans")
+    # few documents hold secrets; while their spans are small, the texts are not shuffled to meet them
+    joined = marked.join(broadcast_if_small(spans), marked[key]["id"].eqNullSafe(F.col(f"{cut}.id")) & (marked[key]["h"] == F.col(f"{cut}.h")), "left")
+    spans_of = F.col(cut)["spans"]
+    return joined.select(*[F.when(spans_of.isNotNull(), _redact(F.col(text_col), spans_of)).otherwise(F.col(c)).alias(c)
+                           if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _redact(text, spans):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
-from .store import stored
+from .store import stored, unused
 
 SEED = 42
 BITS = 64
@@ -216,9 +216,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are told apart by their fingerprints, so a group without any id keeps a row like any other, and an id on
     different texts keeps one in each of their groups where it is the smallest.
     """
-    marked = docs.withColumn("__fp", fingerprint_column(words)(F.col(text_col)))
-    hashed = stored(marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), "fingerprints")
+    fp, n, id_ = unused(docs, "fp", "n", "id")
+    marked = stored(docs.withColumn(fp, fingerprint_column(words)(F.col(text_col))), "marked")
+    hashed = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp"))
     kept = rooted(hashed, "id", most).groupBy("root").agg(first.alias("first")).select("first.id", "first.fp")
-    on = marked[id_col].eqNullSafe(kept.id) & (marked["__fp"] == kept.fp)
-    return marked.join(kept, on, "left_semi").dropDuplicates([id_col, "__fp"]).select(*docs.columns)
+    rows = hashed.groupBy("id", "fp").agg(F.count("*").alias("n"))
+    kept = kept.join(rows, kept.id.eqNullSafe(rows.id) & (kept.fp == rows.fp)).select(kept.id.alias(id_), kept.fp.alias(f"{fp}_kept"), F.col("n").alias(n))
+    found = marked.join(kept, marked[id_col].eqNullSafe(F.col(id_)) & (marked[fp] == F.col(f"{fp}_kept")))
+    # only rows that repeat an id and a fingerprint meet once more
+    once = found.where(F.col(n) == 1).select(*docs.columns)
+    return once.unionByName(found.where(F.col(n) > 1).dropDuplicates([id_col, fp]).select(*docs.columns))

@@ -66,8 +66,9 @@ def features(texts: list[bytes], hasher: Hasher):
 
 
 def _counted(batches):
-    """Distinct feature buckets of each text with their counts; a text has at most ``2**BITS`` of them."""
-    hasher = Hasher()
+    """Distinct feature buckets of each text with their counts, packed; a text has at most ``2**BITS`` of them."""
+    import zstandard
+    hasher, pack = Hasher(), zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for begin, end, texts in portions(batch.column(1), BLOCK_BYTES):
             docs, found = [], []
@@ -76,9 +77,17 @@ def _counted(batches):
                 found.append(buckets)
             key = np.concatenate(docs) << BITS | np.concatenate(found)
             key, n = np.unique(key, return_counts=True)
-            cut = np.searchsorted(key >> BITS, np.arange(end - begin + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int32))) for x in (key & (1 << BITS) - 1, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), *lists], names=["id", "buckets", "counts"])
+            cut = np.searchsorted(key >> BITS, np.arange(end - begin + 1)).tolist()
+            buckets, n = (key & (1 << BITS) - 1).astype("<u2"), n.astype("<u4")
+            packed = [pack(buckets[a:b].tobytes() + n[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(packed, pa.binary())], names=["id", "features"])
+
+
+def unpacked(features: bytes, decompressor) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of a text."""
+    data = decompressor.decompress(features)
+    n = len(data) // 6
+    return np.frombuffer(data, dtype="<u2", count=n).astype(np.int64), np.frombuffer(data, dtype="<u4", offset=2 * n).astype(np.int64)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -86,15 +95,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, output weights and output bias by stochastic gradient descent over ``(buckets, counts, label)``."""
+def train(rows: list[tuple[bytes, int]], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, output weights and output bias by stochastic gradient descent over ``(packed features, label)``.
+
+    Rows stay packed but for the one whose turn it is.
+    """
+    import zstandard
+    decompressor = zstandard.ZstdDecompressor()
     rng = np.random.default_rng(seed)
     embeddings = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH))
     weights, bias = rng.normal(0, 1 / WIDTH, (WIDTH, 2)), np.zeros(2)
     steps, step = EPOCHS * len(rows), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
-            buckets, counts, label = rows[k]
+            (buckets, counts), label = unpacked(rows[k][0], decompressor), rows[k][1]
             rate = RATE * (1 - step / steps)
             step += 1
             share = counts / max(1, counts.sum())
@@ -130,9 +144,10 @@ def scores(model: Model, texts: list[bytes], hasher: Hasher) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
         most: int = TRAINING_DOCUMENTS) -> Model:
-    """Train on the labelled documents, or on about ``most`` of them chosen by hash (the driver holds those).
+    """Train on the labelled documents, or on about ``most`` of them chosen by hash (the driver holds their features).
 
-    Labels without id, value or document are left out; without any, every text gets the same score 0.5.
+    Labels without id, value or document are left out; without any, every text gets the same score 0.5. Of several
+    documents with one id one is taken.
     """
     known = dict(sampled_labels(labels, id_col, label_col, most))
     spark = docs.sparkSession
@@ -140,10 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     if known:
         listed = F.broadcast(spark.createDataFrame([(k,) for k in known], f"id {dict(labels.dtypes)[id_col]}"))
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(listed, "id")
-        counted = texts.mapInArrow(_counted, f"id {dict(docs.dtypes)[id_col]}, buckets array<int>, counts array<int>")
-        table = counted.toArrow().sort_by("id")
-        rows = [(b.values.to_numpy(), c.values.to_numpy(), int(known[i.as_py()] == 1))
-                for i, b, c in zip(table["id"], table["buckets"], table["counts"])]
+        counted = texts.mapInArrow(_counted, f"id {dict(docs.dtypes)[id_col]}, features binary")
+        table = counted.groupBy("id").agg(F.min("features").alias("features")).toArrow()
+        rows = [(f, int(known[i] == 1)) for i, f in sorted(zip(table["id"].to_pylist(), table["features"].to_pylist()), key=lambda r: r[0])]
     return collapsed(*train(rows)) if rows else (np.zeros(1 << BITS), 0.0)
 
 
@@ -178,6 +192,10 @@ def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7, label_col: str = "quality",
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose score is at least ``least``."""
+    """The documents whose score is at least ``least``, with all their columns.
+
+    Scores are those of ``quality``: null, empty and wordless texts get that of the bias, repeated rows stay or go
+    together, an empty table stays empty, and without any label all scores are 0.5.
+    """
     model = fit(docs, labels.where(~held_out(id_col)), label_col, id_col, text_col)
     return docs.where(score_column(model, F.col(text_col)) >= least)

@@ -36,3 +36,38 @@ def sampled_labels(labels: DataFrame, id_col: str, label_col: str, most: int, se
         cut = int(most / total * 2**32)
         clean = clean.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**32)) < cut)
     return [(r[0], r[1]) for r in clean.collect()]
+
+
+def frequent(counted: DataFrame, most: int, n_col: str = "n") -> DataFrame:
+    """Rows of a table of counts (best a stored one) that are greater than any cut leaving more than ``most`` rows.
+
+    Rows tied at the cut stay out, so the answer does not depend on how the rows are spread. Only the numbers of rows
+    by size of count come to the driver: first by eighths of a power of two, then by count inside one of these.
+    """
+    from pyspark.sql import functions as F
+    step = F.floor(F.log2(n_col) * 8)
+    sizes = dict(counted.groupBy(step.alias("step")).count().collect())
+    total = 0
+    for k in sorted(sizes, reverse=True):
+        if total + sizes[k] > most:
+            break
+        total += sizes[k]
+    else:
+        return counted
+    inside = sorted(counted.where(step == k).groupBy(n_col).count().collect(), reverse=True)
+    for n, rows in inside:
+        total += rows
+        if total > most:
+            return counted.where(F.col(n_col) > n)
+    return counted
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -19,10 +19,9 @@ TRAINING_DOCUMENTS = 20_000
 PRIOR_SHARE = 0.03
 #: tokens are whole words and their first so many bytes, for languages that build words
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: a token's log-odds less so many standard deviations must reach the least odds of the lexicon; its greatest size
+#: a token's log-odds less so many standard deviations must reach the least odds of the lexicon
 CAUTION = 2.0
 LEAST_ODDS = 1.0
-LEXICON = 20_000
 #: a passage is significant when chance gives fewer than so many as good ones in a text of its length
 E_VALUE = 0.5
 #: texts of shuffled words by which the extreme-value distribution is fitted
@@ -232,22 +231,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     totals = counted.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     if not totals.toxic or not totals.clean:
         return nothing
-    # candidates by a plain ratio; the tokens that can reach the z-score are among them
+    # all tokens that toxic texts hold more often get their prior from all texts and then the test; the sample bounds them
     plain = F.log((F.col("toxic") + 0.01) / totals.toxic) - F.log((F.col("clean") + 0.01) / totals.clean)
-    rows = (counted.where((F.col("toxic") > 1) & (plain > 0)).orderBy((plain * F.sqrt("toxic")).desc(), "token")
-            .limit(LEXICON).collect())
-    if not rows:
+    rows = counted.where((F.col("toxic") > 1) & (plain > 0)).toArrow()
+    if not rows.num_rows:
         return nothing
-    h = np.array([r.token for r in rows]).view(np.uint64)
+    h, toxic, clean = (rows[c].to_numpy() for c in ("token", "toxic", "clean"))
+    h = h.view(np.uint64)
     order = np.argsort(h)
-    h, toxic, clean = h[order], *(np.array([r[c] for r in rows], dtype=float)[order] for c in ("toxic", "clean"))
+    h, toxic, clean = h[order], toxic[order].astype(float), clean[order].astype(float)
     corpus = (docs.select(text_col).mapInArrow(_corpus_counts(spark.sparkContext.broadcast(h)), "at long, n long")
-              .groupBy("at").agg(F.sum("n").alias("n")).collect())
-    n_all = max(1, sum(r.n for r in corpus if r["at"] < 0))
+              .groupBy("at").agg(F.sum("n").alias("n")).toArrow())
+    at, n = (corpus[c].to_numpy() for c in ("at", "n"))
+    n_all = max(1, int(n[at < 0].sum()))
     count = np.zeros(len(h))
-    for r in corpus:
-        if r["at"] >= 0:
-            count[r["at"]] = r.n
+    count[at[at >= 0]] = n[at >= 0]
     prior_words = PRIOR_SHARE * (totals.toxic + totals.clean) / (1 + len(BEGINNINGS))
     prior = np.maximum(count, 1) / n_all * prior_words
     a, b = toxic + prior, clean + prior

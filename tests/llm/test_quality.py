@@ -48,3 +48,54 @@ def test_edges(spark, texts, labelled):
     found = quality(docs.unionByName(texts(EDGES)), labels).collect()
     assert len(found) == 300 + len(EDGES) and all(0 <= r.score <= 1 for r in found)
     assert good_documents(texts(EDGES), none, least=0.4).columns == ["doc_id", "text", "id", "label"]
+
+
+def test_score_and_training_step_against_a_plain_version():
+    """One text's score, and one epoch of SGD, recomputed feature by feature."""
+    import zstandard
+    from tablewright.llm import quality as q
+    hasher, data = Hasher(), [b"ab cdef cdef xyz", b"Some Other words here", b"", b"ab ab"]
+    found = list(features(data, hasher))
+    bags = [[] for _ in data]
+    for buckets, counts in found:
+        until = np.cumsum(counts)
+        for k in range(len(data)):
+            bags[k] += buckets[until[k] - counts[k]:until[k]].tolist()
+    rng = np.random.default_rng(0)
+    emb, w, bias = rng.normal(size=(1 << q.BITS, q.WIDTH)), rng.normal(size=(q.WIDTH, 2)), rng.normal(size=2)
+    for k, score in enumerate(q.scores(q.collapsed(emb, w, bias), data, hasher)):
+        mean = sum((emb[b] for b in bags[k]), np.zeros(q.WIDTH)) / max(1, len(bags[k]))
+        z = mean @ w + bias
+        assert abs(score - np.exp(z[1]) / np.exp(z).sum()) < 1e-9
+
+    rows = []
+    pack = zstandard.ZstdCompressor().compress
+    for k, bag in enumerate(bags):
+        buckets, n = np.unique(np.array(bag, dtype=np.int64), return_counts=True)
+        rows.append((pack(buckets.astype("<u2").tobytes() + n.astype("<u4").tobytes()), k % 2))
+    emb, w, bias = q.train(rows, seed=3)
+    rng = np.random.default_rng(3)
+    e, v, c = rng.uniform(-1 / q.WIDTH, 1 / q.WIDTH, (1 << q.BITS, q.WIDTH)), rng.normal(0, 1 / q.WIDTH, (q.WIDTH, 2)), np.zeros(2)
+    step, steps = 0, q.EPOCHS * len(rows)
+    for _ in range(q.EPOCHS):
+        for k in rng.permutation(len(rows)):
+            rate, bag = q.RATE * (1 - step / steps), bags[k]
+            step += 1
+            hidden = sum((e[b] for b in bag), np.zeros(q.WIDTH)) / max(1, len(bag))
+            z = hidden @ v + c
+            error = np.exp(z - z.max()) / np.exp(z - z.max()).sum() - np.eye(2)[k % 2]
+            back = v @ error
+            for i in range(q.WIDTH):
+                for j in range(2):
+                    v[i, j] -= rate * hidden[i] * error[j]
+            c = c - 0.1 * rate * error
+            for b in bag:
+                e[b] = e[b] - rate / len(bag) * back
+    assert np.allclose(e, emb) and np.allclose(v, w) and np.allclose(c, bias)
+
+
+def test_one_id_on_many_rows_sends_one_row(spark, texts, labelled):
+    docs, labels = labelled
+    many = docs.where("doc_id > 0").unionByName(texts([(0, f"text number {k} of one id") for k in range(500)]))
+    from tablewright.llm.quality import fit
+    assert len(fit(many, labels, "quality")[0]) == 1 << 16

@@ -71,7 +71,7 @@ def test_edges(spark, texts):
 def test_more_tokens_than_the_former_limit(spark, texts, monkeypatch):
     """25,000 telling words: each one alone is found, however many there are."""
     words = [f"w{k:05d}" for k in range(25_000)]
-    rows = [(k, " ".join(words[(k % 20) * 1250:(k % 20 + 1) * 1250])) for k in range(200)] + [
+    rows = [(k, " ".join(words[(k % 20) * 1250:(k % 20 + 1) * 1250]) + f" n{k}") for k in range(200)] + [
         (1000 + k, " ".join(f"clean{(k * 7 + j) % 4000} word{j % 900}" for j in range(900))) for k in range(400)]
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows], "doc_id long, toxic int")
     monkeypatch.setattr("tablewright.llm.toxicity.CAUTION", 0.1)

@@ -17,6 +17,18 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, made longer until the table has none of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def named_columns(df: DataFrame, params: dict) -> list[str]:
     """The existing columns a step names, through ``columns`` or ``column``."""
     wanted = params.get("columns") or [params.get("column")]

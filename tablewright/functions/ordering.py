@@ -3,9 +3,10 @@
 A window without ``PARTITION BY`` sends the whole table to one task. Here the
 order key is cut into value ranges ("buckets") from a small sample of keys, so
 windows run per bucket in parallel; what a bucket needs from its neighbours (row
-offsets, last value seen) comes from a summary with one row per bucket. Bucket bounds are literals in the plan and a bucket is a
-pure function of the key, so a recomputed task always gives the same rows and
-nothing has to be materialised. Ties in the caller's key are broken by a row
+offsets, last value seen) comes from a summary with one row per bucket. Up to
+``COARSE`` bounds are literals in the plan, whatever the number of rows. Larger tables
+cut each of these ranges again, by a table with one row of bounds per range. A
+bucket is a pure function of the key, so a recomputed task always gives the same rows. Ties in the caller's key are broken by a row
 hash, which also spreads a hot key value over several buckets.
 """
 
@@ -18,14 +19,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .checkpoints import settled
 from .columns import col
 
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 8
 SAMPLES_PER_BUCKET = 32
+#: ranges whose bounds the driver draws and writes into the plan, and ranges each of them is cut into at most
+COARSE, FINE = 512, 512
 ROLLING_BLOCK = 500_000
 
-KEY, BUCKET, INDEX = "__order_key", "__bucket", "__row_index"
+KEY, BUCKET, INDEX, CUTS = "__order_key", "__bucket", "__row_index", "__cuts"
 
 
 @dataclass
@@ -63,30 +67,43 @@ def bucketed(df: DataFrame, order_by, tie_break: list[str] | None = None,
     """
     names = order_columns(order_by)
     keyed = df.withColumn(KEY, order_key(names, tie_break or df.columns))
-    if buckets is None:
-        buckets = max(MIN_BUCKETS, math.ceil((rows := df.count()) / ROWS_PER_BUCKET))
-    else:
-        rows = df.count()
-    bounds = _bounds(keyed, buckets, rows)
-    return Ordered(keyed.withColumn(BUCKET, _bucket_number(F.col(KEY), bounds)), df.columns)
-
-
-def _bounds(keyed: DataFrame, buckets: int, rows: int) -> list[str]:
-    """SQL literals of the bucket bounds, from a sample of about ``SAMPLES_PER_BUCKET`` keys per bucket.
+    rows = df.count()
+    wanted = buckets or max(MIN_BUCKETS, math.ceil(rows / ROWS_PER_BUCKET))
+    coarse, fine = min(wanted, COARSE), min(FINE, math.ceil(wanted / COARSE))
+    bounds = range_bounds(keyed, KEY, coarse, rows)
+    numbered = keyed.withColumn(BUCKET, range_bucket(F.col(KEY), bounds))
+    if fine > 1:
+        cuts = _fine_bounds(numbered, fine, coarse * fine * SAMPLES_PER_BUCKET / max(1, rows))
+        # at most COARSE rows with under FINE bounds each
+        numbered = numbered.join(F.broadcast(cuts), BUCKET, "left").withColumn(
+            BUCKET, F.col(BUCKET) * fine + _reached(F.col(KEY), F.coalesce(F.col(CUTS), F.array().cast(cuts.schema[CUTS].dataType)), fine)).drop(CUTS)
+    return Ordered(numbered, df.columns)
+
+
+def range_bounds(keyed: DataFrame, key: str, buckets: int, rows: int) -> list[str]:
+    """SQL literals of the bucket bounds, from a sample of about ``SAMPLES_PER_BUCKET`` struct keys per bucket.
 
     Rows are drawn where they are read, in proportion to the count already taken; the
     quantiles of their keys are the bounds. Only balance depends on the sample, never results.
     """
     share = buckets * SAMPLES_PER_BUCKET / max(1, rows)
-    keys = keyed.select(F.col(KEY))
-    ranked = (keys if share >= 1 else keys.sample(False, share, 7)).orderBy(KEY).collect()
+    keys = keyed.select(F.col(key))
+    ranked = (keys if share >= 1 else keys.sample(False, share, 7)).orderBy(key).collect()
     step = len(ranked) / buckets
-    keys = [ranked[int(i * step)][KEY] for i in range(1, buckets) if ranked]
-    types = [f.dataType for f in keyed.schema[KEY].dataType.fields]
+    keys = [ranked[int(i * step)][key] for i in range(1, buckets) if ranked]
+    types = [f.dataType for f in keyed.schema[key].dataType.fields]
     texts = ["struct(" + ", ".join(_sql_literal(v, t) for v, t in zip(k, types)) + ")" for k in keys]
     return list(dict.fromkeys(texts))
 
 
+def _fine_bounds(numbered: DataFrame, fine: int, share: float) -> DataFrame:
+    """``(bucket, cuts)``: bounds that part each range into ``fine`` ones, from a sample of its keys, written once."""
+    drawn = (numbered if share >= 1 else numbered.sample(False, share, 8)).select(BUCKET, KEY)
+    ranked = drawn.groupBy(BUCKET).agg(F.array_sort(F.collect_list(KEY)).alias("drawn"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(fine - 1)), lambda i: F.get("drawn", F.floor(i * F.size("drawn") / fine).cast("int")))
+    return settled(ranked.select(BUCKET, places.alias(CUTS)))
+
+
 def _sql_literal(value, dtype: T.DataType) -> str:
     kind = dtype.simpleString()
     if value is None:
@@ -104,16 +121,20 @@ def _sql_literal(value, dtype: T.DataType) -> str:
     raise TypeError(f"cannot order by a column of type {kind}")
 
 
-def _bucket_number(key: Column, bounds: list[str]) -> Column:
-    """How many bounds lie at or below the key, by halving over a constant array."""
+def range_bucket(key: Column, bounds: list[str]) -> Column:
+    """How many bounds lie at or below the key."""
     if not bounds:
         return F.lit(0)
-    cuts = F.expr("array(" + ", ".join(bounds) + ")")
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return _reached(key, F.expr("array(" + ", ".join(bounds) + ")"), len(bounds) + 1)
+
+
+def _reached(key: Column, cuts: Column, fewer: int) -> Column:
+    """How many of the sorted cuts, fewer than ``fewer``, lie at or below the key, by halving."""
+    steps = [1 << i for i in reversed(range((fewer - 1).bit_length()))]
 
     def advance(found, step):
         ahead = found + step
-        fits = (ahead <= F.lit(len(bounds))) & (F.get(cuts, ahead - 1) <= key)
+        fits = (ahead <= F.size(cuts)) & (F.get(cuts, ahead - 1) <= key)
         return F.when(fits, ahead).otherwise(found)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)

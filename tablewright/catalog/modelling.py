@@ -9,8 +9,6 @@ from ..ml.neighbors import nearest
 from ..ml.prepare import choose_columns, feature_rules
 from .base import NULLED_SEGMENT, query, rounded, source, table
 
-_DIM = 64
-
 
 # preparation
 
@@ -111,7 +109,8 @@ _regressor("adaboost_regressor", "adaboost-regressor", {"n_estimators": 6})
 def _vectors(spark, sf_dir, two_classes: bool = False):
     df = table(spark, sf_dir, "embeddings")
     label = (F.col("label") >= 5).cast("int") if two_classes else F.col("label")
-    return df.select("vec_id", label.alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(_DIM)])
+    length = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return df.select("vec_id", label.alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(length)])
 
 
 def _classifier(name, algorithm, params, two_classes=True):
@@ -148,7 +147,7 @@ def _nearest(spark, sf_dir):
 
 def _fitted_on_all(spark, sf_dir, algorithm, params):
     df = _vectors(spark, sf_dir)
-    rows = assemble(df, [f"x{i}" for i in range(_DIM)], "label").select("vec_id", "features", "label")
+    rows = assemble(df, [c for c in df.columns if c not in ("vec_id", "label")], "label").select("vec_id", "features", "label")
     model = fit_model(algorithm, rows.select("features", "label"), params)
     return model.transform(rows).select("vec_id", "prediction")
 

@@ -7,7 +7,9 @@ from .base import NULLED, NULLED_SEGMENT, PAIRS, query, rounded, source, table
 
 _V = "CASE WHEN event_type IN ('error', 'view') THEN NULL ELSE value END"
 _N = f"(SELECT event_id, {_V} AS value FROM events)"
-_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NUM = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+        "l_extendedprice": "double", "l_discount": "double", "l_tax": "double"}
+_OTHER = {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
 
 
 def _ranked(column: str, frm: str) -> str:
@@ -28,10 +30,11 @@ def _overview(spark, sf_dir):
 _SKEW = """(sum(pow(x - m, 3)) / n) / pow(sum(pow(x - m, 2)) / n, 1.5)"""
 
 
-def _stats_sql(columns: list[str]) -> str:
-    parts = []
-    for c in columns:
-        parts.append(f"""SELECT '{c}' AS column, 'double' AS type, count(*) AS count, CAST(0 AS BIGINT) AS nulls,
+def _stats_sql(columns: dict[str, str], others: dict[str, str]) -> str:
+    parts = [f"""SELECT '{c}' AS column, '{t}' AS type, count({c}) AS count, count(*) - count({c}) AS nulls, NULL AS mean, NULL AS median,
+            NULL AS std, NULL AS min, NULL AS max, NULL AS skewness, NULL AS outliers FROM lineitem""" for c, t in others.items()]
+    for c, t in columns.items():
+        parts.append(f"""SELECT '{c}' AS column, '{t}' AS type, count(*) AS count, CAST(0 AS BIGINT) AS nulls,
             round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_samp(x), 6) AS std,
             round(min(x), 6) AS min, round(max(x), 6) AS max, round({_SKEW}, 6) AS skewness,
             count(CASE WHEN x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a) THEN 1 END) AS outliers
@@ -40,9 +43,9 @@ def _stats_sql(columns: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("column_statistics", _stats_sql(_NUM))
+@query("column_statistics", _stats_sql(_NUM, _OTHER))
 def _statistics(spark, sf_dir):
-    return rounded(P.column_statistics(table(spark, sf_dir, "lineitem"), _NUM))
+    return rounded(P.column_statistics(table(spark, sf_dir, "lineitem"), [*_NUM, *_OTHER]))
 
 
 @query("column_statistics_with_nulls", f"""SELECT 'value' AS column, 'double' AS type, count(x) AS count, count(*) - count(x) AS nulls,
@@ -70,9 +73,9 @@ def _histogram_sql(columns: list[str], bins: int = 5) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("histogram_profile", _histogram_sql(_NUM))
+@query("histogram_profile", _histogram_sql(list(_NUM)))
 def _histogram(spark, sf_dir):
-    return rounded(P.histogram(table(spark, sf_dir, "lineitem"), _NUM))
+    return rounded(P.histogram(table(spark, sf_dir, "lineitem"), list(_NUM)))
 
 
 @query("top_distribution", """WITH s AS (SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_mktsegment END AS seg FROM customer)
@@ -116,7 +119,7 @@ def _describe_sql(columns: list[str]) -> str:
         FROM ({_ranked(f'CAST({c} AS DOUBLE)', 'lineitem')})""" for c in columns)
 
 
-@query("describe", _describe_sql(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_NUM]))
+@query("describe", _describe_sql(list(_NUM)))
 def _describe(spark, sf_dir):
     return rounded(P.describe(table(spark, sf_dir, "lineitem")), 7)
 

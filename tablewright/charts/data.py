@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import col, data_type, is_numeric
 from ..functions.density import density_curves, density_surface
-from ..functions.histograms import bin_counts, edges
+from ..functions.histograms import bin_table
 from ..functions.lookup import broadcast_if_small
 from ..functions.quantiles import grouped_quantiles, mixed_quantiles
 from ..functions.statistics import pearson
@@ -163,10 +163,7 @@ def _histogram(df, x, y, options):
     else:
         marks = mixed_quantiles(df, {c: [(0.25, "linear"), (0.75, "linear")] for c in shape}, {c: s[0] for c, s in shape.items()})
         bins = {c: _automatic_bins(*s, marks[c], isinstance(data_type(df, c), T.IntegralType)) for c, s in shape.items()}
-    cuts = {c: edges(s[1], s[2], bins[c]) for c, s in shape.items()}
-    counted = bin_counts(df, cuts)
-    rows = [(c, i, e[i], e[i + 1], counted.get((c, i), 0)) for c, e in cuts.items() for i in range(len(e) - 1)]
-    return df.sparkSession.createDataFrame(rows, "column string, bin int, bin_from double, bin_to double, count bigint")
+    return bin_table(df, {c: (s[1], s[2], bins[c]) for c, s in shape.items()})
 
 
 def _groups(df: DataFrame, x: list[str], y: list[str]) -> tuple[DataFrame, list[str]]:

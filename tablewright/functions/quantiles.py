@@ -9,12 +9,10 @@ round is one aggregate for all columns and ranks together.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .columns import col
 
@@ -202,27 +200,32 @@ def _combine(n: int, p: float, method: str, value_of):
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Linear quantiles of a double column per group, as columns q0, q1, ... beside the keys and ``n``.
 
-    All groups share the same passes, whatever their sizes: rows are numbered in the order of
-    keys and value, a group's ranks count from its first number, and the rows at the wanted
-    ranks are picked. No task holds a group, and nothing but bucket bounds reaches the driver.
+    Rows are put in the order of keys and value and cut into ranges. Counts per group and range, few rows, tell each
+    group's size and at which of its ranks a range begins; rows are numbered inside a range and those at the wanted
+    ranks are picked. The values are shuffled once, no task holds a group, and only bounds reach the driver.
     """
-    from .ordering import INDEX, bucketed, with_row_index
+    from .ordering import BUCKET, bucketed
     names = [f"__key{i}" for i in range(len(keys))]
     rows = df.select(*[col(k).alias(n) for k, n in zip(keys, names)], col(value).cast("double").alias("__value"))
-    numbered = with_row_index(bucketed(rows.filter(F.col("__value").isNotNull()), [*names, "__value"]))
-    starts = rows.groupBy(*names).agg(F.count("__value").alias("n"))
-    firsts = numbered.groupBy(*names).agg(F.min(INDEX).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    renamed = firsts.withColumnsRenamed({n: n + "_" for n in names})
-    on = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(n + "_")) for n in names))
-    rank = F.col(INDEX) - F.col("__first")
+    # as a struct, keys with nulls are equal too
+    group = F.struct(*[F.col(n) for n in names]) if names else F.struct(F.lit(0).alias("one"))
+    placed = bucketed(rows, [*names, "__value"]).df.select(BUCKET, group.alias("__group"), "__value")
+    counts = placed.groupBy("__group", BUCKET).agg(F.count("__value").alias("__n"))
+    inside = Window.partitionBy("__group")
+    parts = counts.select("__group", BUCKET, F.sum("__n").over(inside).alias("n"),
+                          (F.sum("__n").over(inside.orderBy(BUCKET)) - F.col("__n")).alias("__before"))
+    numbered = placed.filter(F.col("__value").isNotNull()).withColumn("__local", F.row_number().over(Window.partitionBy("__group", BUCKET).orderBy("__value")) - 1)
+    rank = F.col("__before") + F.col("__local")
     picks = []
     for i, p in enumerate(probs):
-        at = (F.col("__n") - 1) * F.lit(float(p))
+        at = (F.col("n") - 1) * F.lit(float(p))
         picks += [F.max(F.when(rank == F.floor(at), F.col("__value"))).alias(f"__low{i}"),
-                  F.max(F.when(rank == F.ceil(at), F.col("__value"))).alias(f"__high{i}"),
-                  F.max(at - F.floor(at)).alias(f"__share{i}")]
-    found = numbered.join(renamed, on).groupBy(*names).agg(*picks).withColumnsRenamed({n: n + "_" for n in names})
-    out = starts.join(found, on, "left")
-    line = lambda i: (F.col(f"__low{i}") + F.when(F.col(f"__share{i}") == 0, F.lit(0.0)).otherwise(
-        (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__share{i}")))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "n", *[line(i).alias(f"q{i}") for i in range(len(probs))])
+                  F.max(F.when(rank == F.ceil(at), F.col("__value"))).alias(f"__high{i}")]
+    # a group's counts come along once for each of its ranges; one without values has no rank but a size of 0
+    out = parts.join(numbered, ["__group", BUCKET], "left").groupBy("__group").agg(F.max("n").alias("n"), *picks)
+
+    def line(i: int, p: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(float(p))
+        low, share = F.col(f"__low{i}"), at - F.floor(at)
+        return low + F.when(share == 0, F.lit(0.0)).otherwise((F.col(f"__high{i}") - low) * share)
+    return out.select(*[F.col("__group")[n].alias(k) for k, n in zip(keys, names)], "n", *[line(i, p).alias(f"q{i}") for i, p in enumerate(probs)])

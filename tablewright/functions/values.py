@@ -19,8 +19,21 @@ def top_values(df: DataFrame, name: str, k: int) -> DataFrame:
 
 def most_frequent(df: DataFrame, name: str):
     """The most frequent non-null value, the lowest on a tie, or ``None``."""
-    row = top_values(df.filter(col(name).isNotNull()), name, 1).first()
-    return row["value"] if row else None
+    return most_frequent_of(df, [name])[name]
+
+
+def most_frequent_of(df: DataFrame, names: list[str]) -> dict:
+    """``most_frequent`` of several columns in one pass: values are counted by column and value."""
+    if not names:
+        return {}
+    fields = [F.struct(F.lit(i).alias("i"), *[(col(c) if k == i else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{k}") for k, c in enumerate(names)])
+              for i in range(len(names))]
+    present = [F.when(col(c).isNotNull(), f) for c, f in zip(names, fields)]
+    values = [F.col(f"v{k}") for k in range(len(names))]
+    counts = df.select(F.inline(F.array_compact(F.array(*present)))).groupBy("i", *values).agg(F.count("*").alias("n"))
+    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), *values)).alias("best")).collect()
+    found = {r["i"]: r["best"][f"v{r['i']}"] for r in best}
+    return {c: found.get(i) for i, c in enumerate(names)}
 
 
 def sorted_values(df: DataFrame, name: str) -> list:

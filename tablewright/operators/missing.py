@@ -8,7 +8,7 @@ from ..functions.columns import col, data_type, is_numeric, literal_for, named_c
 from ..functions.ordering import INDEX, bucketed, carried, with_row_index
 from ..functions.quantiles import column_quantiles
 from ..functions.statistics import moments
-from ..functions.values import most_frequent
+from ..functions.values import most_frequent_of
 from ..plans.registry import table_step
 
 
@@ -20,7 +20,7 @@ def _fill_values(df: DataFrame, params: dict) -> dict:
     if strategy == "median":
         return {c: q[0] for c, q in column_quantiles(df, numeric, [0.5], "linear").items()}
     if strategy == "mode":
-        return {c: most_frequent(df, c) for c in names}
+        return most_frequent_of(df, names)
     if strategy == "constant" and params.get("value") is not None:
         return {c: params["value"] for c in names}
     return {}

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import as_text, named_columns, with_columns
 from ..plans.registry import row_step
 
-# fixed values: patterns that decide results
-NOT_PLAIN = r"[^a-zA-Z0-9\s]"
-AFTER_AT = r"@([^\s]+)"
-HOST = r"https?://(?:www\.)?([^/\s]+)"
+# fixed values: patterns that decide results; white space is Unicode's
+NOT_PLAIN = r"[^a-zA-Z0-9\s\u0085\p{Z}]"
+AFTER_AT = r"@([^\s\u0085\p{Z}]+)"
+HOST = r"https?://(?:www\.)?([^/\s\u0085\p{Z}]+)"
 OUTER_SPACE = r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+$"
 
 

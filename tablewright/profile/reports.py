@@ -21,7 +21,6 @@ from ..operators.outliers import fences
 TOP_DISTRIBUTION, TOP_CLASSES, TOP_UNIQUE, SAMPLE_VALUES, HISTOGRAM_BINS = 5, 30, 100, 3, 5
 MISSING_TEXT = "NaN"  # fixed value: how a null value is shown
 
-SMALL_JOIN_ROWS = 100_000
 
 
 def _tidy(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -142,18 +141,11 @@ def class_distribution(df: DataFrame, column: str, k: int = TOP_CLASSES) -> Data
 def duplicate_rows(df: DataFrame) -> int:
     """Rows beyond the first of each set of equal rows.
 
-    Rows with a hash of their own cannot be copies, so when few hashes repeat, only
-    the rows behind those are compared in full.
+    Rows with a hash of their own cannot be copies: only the rows behind repeated hashes are compared in full.
     """
     keys = [F.xxhash64(*[col(c) for c in df.columns]).alias("__h1"), F.hash(*[col(c) for c in df.columns]).alias("__h2")]
     repeated = df.select(*keys).groupBy("__h1", "__h2").count().filter(F.col("count") > 1)
-    few = repeated.select("__h1", "__h2").limit(SMALL_JOIN_ROWS + 1).collect()
-    if not few:
-        return 0
-    rows = df
-    if len(few) <= SMALL_JOIN_ROWS:
-        suspects = df.sparkSession.createDataFrame([tuple(r) for r in few], "__h1 bigint, __h2 int")
-        rows = df.select("*", *keys).join(F.broadcast(suspects), ["__h1", "__h2"], "left_semi")
+    rows = df.select("*", *keys).join(repeated, ["__h1", "__h2"], "left_semi")
     copies = rows.groupBy(*[col(c) for c in df.columns]).agg((F.count(F.lit(1)) - 1).alias("extra"))
     return copies.agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
 

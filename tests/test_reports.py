@@ -46,11 +46,10 @@ def test_top_distribution_of_nothing(spark):
     assert [tuple(r) for r in P.class_distribution(df, "s").collect()] == [("NaN", 2, 100.0)]
 
 
-def test_duplicates_with_few_and_many_repeats(spark, monkeypatch):
-    from tablewright.profile import reports
+def test_duplicates_with_few_and_many_repeats(spark):
     df = spark.range(100).select((F.col("id") % 40).alias("a"), F.when(F.col("id") % 2 == 0, None).otherwise("x").alias("b"))
     assert P.duplicate_rows(df) == 60
-    monkeypatch.setattr(reports, "SMALL_JOIN_ROWS", 3)
+
     assert P.duplicate_rows(df) == 60
     assert P.duplicate_rows(spark.range(10)) == 0
 

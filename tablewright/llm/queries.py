@@ -113,12 +113,14 @@ summed AS (
     SELECT doc_id, key, text, strlen(coalesce(text, '')) + 16 AS size,
            CASE WHEN text IS NOT NULL THEN xor(list_reduce(
                list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
-               lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INTEGER)])), 4294967295) END AS crc,
-           CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) % 1024 AS part
-    FROM doc, crc)
+               lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS INTEGER)])), 4294967295) END AS crc
+    FROM doc, crc),
+parted AS (
+    SELECT *, CAST('0x' || substr(md5(key || '|' || CAST(size AS VARCHAR) || '|' || coalesce(CAST(crc AS VARCHAR), '')), 1, 4) AS INTEGER) % 1024 AS part
+    FROM summed)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(b.child AS INTEGER) AS shard,
        row_number() OVER (PARTITION BY b.child ORDER BY part, doc_id NULLS FIRST, size, crc NULLS FIRST) - 1 AS slot, CAST(g.child AS INTEGER) AS grown_shard
-FROM summed JOIN l02 b USING (key) JOIN l12 g USING (key)"""
+FROM parted JOIN l02 b USING (key) JOIN l12 g USING (key)"""
 
 
 @query("op1_sharding", sql=_sharding_sql())

@@ -12,10 +12,9 @@ from .store import stored
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 5
-#: cut points per statistic, conditions per rule and rules per list: the size of a model
+#: cut points per statistic between its ends; towards either end they halve the rest down to the rarest share
 CUTS = 64
-CONDITIONS = 5
-RULES = 12
+RAREST = 2.0**-16
 #: a rule must cover so many rejected rows of the growing part, and be right this often on the pruning part
 LEAST_ROWS = 3
 LEAST_PRECISION = 0.8
@@ -100,8 +99,9 @@ def _all(rule: Rule) -> Column:
 
 def _cuts(rows: DataFrame, features: tuple[str, ...]) -> dict[str, list[float]]:
     """Cut points of each feature at its quantiles, from one aggregate over all rows."""
-    at = [k / CUTS for k in range(CUTS)]
-    found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 10_000).alias(f) for f in features]).first()
+    tails = [2.0**-k for k in range(7, 1 - round(math.log2(RAREST)))]
+    at = sorted({*(k / CUTS for k in range(CUTS)), *tails, *(1 - t for t in tails)})
+    found = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), at, 200_000).alias(f) for f in features]).first()
     return {f: sorted(set(found[f] or [])) for f in features}
 
 
@@ -140,8 +140,9 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
           features: tuple[str, ...] = FEATURES) -> list[Rule]:
     """An ordered list of rules that reject, by sequential covering over all labelled rows.
 
-    Two thirds of the rows (by hash) grow a rule, condition by condition, until it covers no kept row; the rest prunes
-    its last conditions away while that helps. Rows a rule covers leave; a rule that is too often wrong ends the list.
+    Two thirds of the rows (by hash) grow a rule, condition by condition, until it covers no kept row or no condition
+    tells the labels better apart; the rest prunes its last conditions away while that helps. Rows a rule covers leave;
+    a rule that covers too few rows or is too often wrong ends the list, which has no other bound.
     Only counts per feature and bin reach the driver. Rows without id or label are left out, an id labelled twice
     counts with its smallest label. Without both labels the list is empty.
     """
@@ -152,9 +153,9 @@ def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
     cuts = _cuts(rows, features)
     rules: list[Rule] = []
     left = rows
-    while len(rules) < RULES:
+    while True:
         rule: Rule = []
-        while len(rule) < CONDITIONS:
+        while True:
             mine = left.where(F.col("grow") & _all(rule))
             (rejected, n), = _sums(mine, [F.lit(True)])
             if rejected < LEAST_ROWS or rejected == n:

@@ -75,7 +75,9 @@ def sharded(docs: DataFrame, shards: list[Shard], grown: list[Shard], id_col: st
     rows share the shard and get slots of their own. An empty table gives an empty result; other columns are not read.
     """
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    part = F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int") % SLOT_BUCKETS
+    # not by the id alone, which a third of the rows may share or lack
+    mixed = F.concat_ws("|", key, F.col("size").cast("string"), F.coalesce(F.col("crc").cast("string"), F.lit("")))
+    part = F.conv(F.substring(F.md5(mixed), 1, 4), 16, 10).cast("int") % SLOT_BUCKETS
     rows = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
                        F.crc32(F.col(text_col).cast("binary")).alias("crc"))
     distinct = (rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))

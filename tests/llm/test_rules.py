@@ -63,3 +63,16 @@ def test_order_of_rules(spark):
     rules = [[Condition("a", True, 2.0), Condition("b", True, 2.0)], [Condition("b", False, 1.0)]]
     assert [r.v for r in rows.select(verdict(rules).alias("v")).collect()] == [True, False, False]
     assert str(rules[0][0]) == "a > 2"
+
+
+def test_rare_junk_and_many_kinds_of_it(spark):
+    """A kind of bad rows rarer than one in 64, and more kinds than a fixed list would hold."""
+    rng = random.Random(4)
+    names = tuple(f"f{k}" for k in range(15))
+    rows = [(i, *[rng.random() for _ in names], 1) for i in range(6000)]
+    for k in range(15):
+        rows += [(10_000 + 100 * k + j, *[rng.random() + 5 * (n == k) for n in range(15)], 0) for j in range(60)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names) + ", quality int").coalesce(4)
+    rules = learn(df.drop("quality"), df.select("id", "quality"), "quality", features=names)
+    wrong = df.where(verdict(rules) != (df.quality == 1)).count()
+    assert len(rules) >= 13 and wrong <= 150

@@ -50,3 +50,18 @@ def test_operator(texts):
     expected = collections.Counter((i, len((t or "").encode()) + 16, None if t is None else zlib.crc32(t.encode())) for i, t in rows)
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == expected
     assert sharded(texts([]), base, base).collect() == []
+
+
+def test_rows_without_id_are_numbered_in_many_parts(spark, texts):
+    """A third of the rows has no id: they share a shard, but no window holds them all."""
+    from pyspark.sql import functions as F
+    from tablewright.llm.sharding import sharded, topology
+    rows = texts([(None if i % 3 == 0 else i, f"text {i}") for i in range(3000)])
+    base = topology(40, 4, 2)
+    found = sharded(rows, base, base)
+    lost = found.where("doc_id is null")
+    assert lost.select("shard").distinct().count() == 1 and lost.count() == 1000
+    slots = sorted(r.slot for r in found.join(lost.select("shard").distinct(), "shard").collect())
+    assert slots == list(range(len(slots)))
+    mixed = F.concat_ws("|", F.lit(""), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    assert lost.select(F.substring(F.md5(mixed), 1, 4)).distinct().count() > 900

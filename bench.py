@@ -31,6 +31,10 @@ HEADLINES = [
     "split_sizes", "linear_regression", "naive_bayes", "nearest_neighbors", "decision_tree_regressor", "random_forest_classifier",
     "gradient_boosting_regressor", "adaboost_classifier", "kmeans", "dbscan", "clustering_metrics", "silhouette_all_rows",
     "chart_violin", "csv_round_trip",
+    # two tables
+    "heavy_key_join", "overlapping_orders", "asof_last_view", "band_join_orders",
+    # groups and order
+    "cube_orders", "distinct_lines", "rank_quantities", "neighbours_of_events", "sessions_of_users", "turns_from_json",
 ]
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -13,7 +14,8 @@ from ..functions.columns import as_text, col, is_numeric
 from ..functions.ordering import INDEX, bucketed, with_row_index
 from ..functions.quantiles import values_at_ranks
 from ..functions.sampling import HASH, row_hash, split_exactly
-from ..functions.values import most_frequent, sorted_values, value_counts
+from ..functions.values import most_frequent_of, value_counts
+from ..operators.encoding import CODE, Codes, category_codes, with_code
 
 # fixed values: defaults of the training form
 TEST_SIZE, SEED, MISSING = 0.2, 48, "missing"
@@ -124,23 +126,45 @@ def _cut(hashed: DataFrame, label: str, used: list[tuple]):
     return chosen
 
 
+@dataclass
+class Flags:
+    """The values of a text column after the first, in order; a flag each. Many values are a table."""
+    codes: Codes
+
+    @property
+    def count(self) -> int:
+        return max(0, self.codes.count - 1)
+
+    @cached_property
+    def values(self) -> list:
+        """For results with a column for each of them; a large table comes to the driver only here."""
+        if self.codes.values is not None:
+            return self.codes.values[1:]
+        return [r[0] for r in self.codes.table.filter(F.col(CODE) > 0).orderBy(CODE).select("word").collect()]
+
+    def numbered(self, df: DataFrame, word: str, index: str) -> DataFrame:
+        """Add the number of each row's value; values without a flag share the number after the last."""
+        codes = self.codes if self.codes.table is None else Codes(self.codes.count, table=self.codes.table.withColumnRenamed("word", word))
+        coded = with_code(df, word, codes)
+        return coded.withColumn(index, F.when(F.col(CODE) > 0, F.col(CODE) - 1).otherwise(self.count).cast("double")).drop(CODE)
+
+
 @dataclass
 class FeatureRules:
     """How raw columns become numbers: fill values and the categories that get a flag."""
     numeric: dict[str, float]
-    text: dict[str, tuple[str, list]]
+    text: dict[str, tuple[str, Flags]]
 
     @property
     def names(self) -> list[str]:
-        return [*self.numeric, *[f"{c}_{v}" for c, (_, values) in self.text.items() for v in values]]
+        return [*self.numeric, *[f"{c}_{v}" for c, (_, flags) in self.text.items() for v in flags.values]]
 
     def apply(self, df: DataFrame, keep: list[str]) -> DataFrame:
         numbers = [F.coalesce(col(c).cast("double"), F.lit(fill)).alias(c) for c, fill in self.numeric.items()]
         flags = [(F.coalesce(as_text(df, c), F.lit(fill)) == F.lit(v)).cast("double").alias(f"{c}_{v}")
-                 for c, (fill, values) in self.text.items() for v in values]
+                 for c, (fill, flags) in self.text.items() for v in flags.values]
         return df.select(*[col(c) for c in keep], *numbers, *flags)
 
-
     def vectors(self, df: DataFrame, keep: list[str], into: str = "features") -> DataFrame:
         """The same features as one vector, sparse where text columns have values: no column per value.
 
@@ -150,15 +174,13 @@ class FeatureRules:
         words = [F.coalesce(as_text(df, c), F.lit(fill)).alias(f"__word{i}") for i, (c, (fill, _)) in enumerate(self.text.items())]
         out = df.select(*[col(c) for c in keep], (array_to_vector(F.array(*numbers)) if numbers else F.lit(None)).alias("__numbers"), *words)
         parts = ["__numbers"] if numbers else []
-        for i, (_, values) in enumerate(self.text.values()):
-            if not values:
+        for i, (_, flags) in enumerate(self.text.values()):
+            if not flags.count:
                 continue
-            # value k has index k; words without a flag share the index after the last, whose flag is cut off
-            known = StringIndexerModel.from_labels(values, f"__word{i}", f"__index{i}", handleInvalid="keep")
-            flags = OneHotEncoder(inputCols=[f"__index{i}"], outputCols=[f"__all{i}"], dropLast=False)
-            every = out.sparkSession.createDataFrame([(float(k),) for k in range(len(values) + 1)], f"__index{i} double")
-            cut = VectorSlicer(inputCol=f"__all{i}", outputCol=f"__flags{i}", indices=list(range(len(values))))
-            out = cut.transform(flags.fit(every).transform(known.transform(out)))
+            # the encoder takes its size from the greatest number, that of words without a flag, which gets none
+            encoder = OneHotEncoder(inputCols=[f"__index{i}"], outputCols=[f"__flags{i}"], dropLast=True)
+            greatest = out.sparkSession.createDataFrame([(float(flags.count),)], f"__index{i} double")
+            out = encoder.fit(greatest).transform(flags.numbered(out, f"__word{i}", f"__index{i}"))
             parts.append(f"__flags{i}")
         if not parts:
             raise ValueError("no features are left")
@@ -171,25 +193,33 @@ def feature_rules(df: DataFrame, features: list[str]) -> FeatureRules:
     numeric = [c for c in features if is_numeric(df, c) or isinstance(df.schema[c].dataType, T.BooleanType)]
     row = df.agg(F.count(F.lit(1)), *[F.avg(col(c).cast("double")) for c in numeric]).first()
     fills = {c: float(m) if m is not None else 0.0 for c, m in zip(numeric, row[1:])}
-    text = {}
-    for c in (c for c in features if c not in numeric):
-        words = df.select(as_text(df, c).alias("word"))
-        mode = most_frequent(words, "word") or MISSING
-        values = sorted_values(words, "word")
-        text[c] = (mode, (values or [mode])[1:])
+    texts = [c for c in features if c not in numeric]
+    words = df.select(*[as_text(df, c).alias(f"w{i}") for i, c in enumerate(texts)])
+    modes = most_frequent_of(words, words.columns) if texts else {}
+    text = {c: (modes[f"w{i}"] or MISSING, Flags(category_codes(words.select(F.col(f"w{i}").alias("word")), {"column": "word"}))) for i, c in enumerate(texts)}
     return FeatureRules(fills, text)
 
 
 @dataclass
 class Prepared:
-    train: DataFrame
-    test: DataFrame
-    features: list[str]
-    target: str | None
+    """Training and test rows of ``target`` and features, as tables with a column per feature or as vectors."""
+    target: str
     rules: FeatureRules
     #: the parts before features were built
     rows: tuple[DataFrame, DataFrame]
 
+    @property
+    def train(self) -> DataFrame:
+        return self.rules.apply(self.rows[0], [self.target])
+
+    @property
+    def test(self) -> DataFrame:
+        return self.rules.apply(self.rows[1], [self.target])
+
+    @property
+    def features(self) -> list[str]:
+        return self.rules.names
+
     def vectors(self) -> tuple[DataFrame, DataFrame]:
         """Training and test rows as ``label`` and ``features``, for models."""
         return tuple(self.rules.vectors(part, [self.target]).select(col(self.target).cast("double").alias("label"), "features")
@@ -212,4 +242,4 @@ def prepare(df: DataFrame, target: str | None = None, excluded: list[str] | None
     rows = rows.select(*[col(c) for c in dict.fromkeys(needed)])
     train, test = split_rows(rows, **split)
     rules = feature_rules(rows if leaky else train, features)
-    return Prepared(rules.apply(train, [target]), rules.apply(test, [target]), rules.names, target, rules, (train, test))
+    return Prepared(target, rules, (train, test))

@@ -64,7 +64,8 @@ def category_codes(df: DataFrame, params: dict) -> Codes | None:
     return Codes(distinct.count(), table=table)
 
 
-def _with_code(df: DataFrame, name: str, codes: Codes) -> DataFrame:
+def with_code(df: DataFrame, name: str, codes: Codes) -> DataFrame:
+    """Add the code of the column's value as ``CODE``."""
     if codes.values is None:
         return attach(df, codes.table, name)
     return df.withColumn(CODE, _inline_code(df, name, codes.values))
@@ -83,7 +84,7 @@ def label_encode(df: DataFrame, params: dict, codes: Codes | None) -> DataFrame:
     if codes is None:
         return df
     name = params["column"]
-    coded = _with_code(df, name, codes)
+    coded = with_code(df, name, codes)
     return coded.select(*[F.col(CODE).alias(c) if c == name else col(c) for c in df.columns])
 
 
@@ -111,7 +112,7 @@ def binary_encode(df: DataFrame, params: dict, codes: Codes | None) -> DataFrame
     name = params["column"]
     if codes.count <= 1:
         return df.withColumn(f"{name}_bin_0", F.lit(0))
-    coded = _with_code(df, name, codes)
+    coded = with_code(df, name, codes)
     bits = [F.shiftright(F.col(CODE), i).bitwiseAND(F.lit(1)).cast("bigint").alias(f"{name}_bin_{i}")
             for i in range((codes.count - 1).bit_length())]
     return coded.select(*[col(c) for c in df.columns if c != name], *bits)

@@ -250,3 +250,20 @@ def test_plain_silhouette_of_all_rows(spark, monkeypatch):
         raise AssertionError("sampled")
     monkeypatch.setattr(metrics, "sampled_silhouette", refused)
     assert modelling._clustering(spark, "/root/testdata/sf0.001").first()["silhouette"] is not None
+
+
+def test_many_text_values_stay_a_table(spark, monkeypatch):
+    """More values than are kept inline: numbered as a table, the same vectors, nothing listed for training."""
+    import importlib
+    p = importlib.import_module("tablewright.ml.prepare")
+    from tablewright.operators import encoding
+    df = spark.createDataFrame([(float(i % 7), f"w{i % 40:02d}" if i % 11 else None, float(i)) for i in range(400)], "x double, w string, y double")
+    few = p.feature_rules(df, ["x", "w"])
+    wide = [tuple(r) for r in few.vectors(df, ["y"]).orderBy("y").collect()]
+    monkeypatch.setattr(encoding, "INLINE_CATEGORIES", 5)
+    monkeypatch.setattr(p.Flags, "values", property(lambda self: 1 / 0))
+    many = p.feature_rules(df, ["x", "w"])
+    assert many.text["w"][1].codes.table is not None and few.text["w"][1].codes.table is None
+    assert [tuple(r) for r in many.vectors(df, ["y"]).orderBy("y").collect()] == wide
+    unseen = spark.createDataFrame([(1.0, "never", 0.0), (1.0, "w00", 1.0), (1.0, "w01", 2.0)], df.schema)
+    assert [r.features.toArray().nonzero()[0].tolist() for r in many.vectors(unseen, ["y"]).orderBy("y").collect()] == [[0], [0], [0, 1]]

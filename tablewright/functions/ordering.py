@@ -137,7 +137,10 @@ def _reached(key: Column, cuts: Column, fewer: int) -> Column:
         fits = (ahead <= F.size(cuts)) & (F.get(cuts, ahead - 1) <= key)
         return F.when(fits, ahead).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    # always that number; naming the partition keeps Spark 4.1 from inferring filters for the other side of a join on it,
+    # which in a new session can miss that the lambda refers to the key, and fail
+    return F.when(F.spark_partition_id() >= 0, found).otherwise(F.lit(0))
 
 
 def _earlier(reverse: bool = False):

@@ -56,6 +56,19 @@ def test_neighbors_equal_brute_force(spark, p, chunk):
     assert got == {(i, r + 1): int(best[i, r]) for i in range(70) for r in range(6)}
 
 
+def test_dbscan_joins_send_nothing_through_the_driver(spark, monkeypatch):
+    from tablewright.ml import dbscan as module
+    plans, cut = [], module.settled
+    monkeypatch.setattr(module, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()
+                                                                   + df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    rows = [(i, [float(i % 40), float(i // 40)]) for i in range(1200)]
+    found = module.dbscan(spark.createDataFrame(rows, "id long, x array<double>"), {"eps": 1.5, "min_samples": 4})
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert found.filter("core").count() == 1200
+    # only the summary of the ranges in which clusters are numbered, one row each, is sent to all
+    assert sum(p.count("BroadcastHashJoin") for p in plans) <= 1 and len(plans) > 5
+
+
 def test_knn_with_copies_and_distance_weights(spark):
     rows = [(0.0, 1.0), (0.0, 3.0), (0.0, 3.0), (4.0, 9.0), (10.0, 5.0)]
     df = assemble(spark.createDataFrame(rows, "x double, y double"), ["x"], "y").select("features", "label")

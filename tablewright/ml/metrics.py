@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
-from .neighbors import BLOCK, distances
+from .neighbors import BLOCK, euclidean
 
 SEED = 42
 #: rows of a block that a task compares with another block
 BLOCK_ROWS = 4_000
+#: blocks of a table before they grow to five times as many rows
+LEAST_BLOCKS = 16
 
 
 def regression_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction", prefix: str = "") -> DataFrame:
@@ -130,7 +132,8 @@ def euclidean_silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS) -> flo
     size = distinct.agg(F.count(F.lit(1)), F.sum("w"), F.count_distinct("prediction")).first()
     if size[2] < 2 or size[2] >= size[1]:
         return None
-    blocks = math.ceil(size[0] / block_rows)
+    # a row is copied once per block, so large tables have larger blocks and no more than keep all tasks busy
+    blocks = min(math.ceil(size[0] / block_rows), max(LEAST_BLOCKS, math.ceil(size[0] / (5 * block_rows))))
     numbers, own = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod("k1", F.lit(blocks)).cast("int")
     left = distinct.select("k1", "k2", "x", own.alias("a"), F.explode(numbers).alias("b"))
     right = distinct.select("x", "prediction", "w", own.alias("b"), F.explode(numbers).alias("a"))
@@ -143,7 +146,7 @@ def euclidean_silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS) -> flo
         starts = np.searchsorted(at[order], np.arange(len(names)))
         x, y = (np.array(v.tolist(), dtype="float64") for v in (a["x"], b["x"].iloc[order]))
         weights = b["w"].to_numpy(dtype="float64")[order]
-        s = np.concatenate([np.add.reduceat(distances(x[i:i + BLOCK], y, 2) * weights, starts, axis=1) for i in range(0, len(x), BLOCK)])
+        s = np.concatenate([np.add.reduceat(euclidean(x[i:i + BLOCK], y) * weights, starts, axis=1) for i in range(0, len(x), BLOCK)])
         return pd.DataFrame({"k1": np.repeat(a["k1"].to_numpy(), len(names)), "k2": np.repeat(a["k2"].to_numpy(), len(names)),
                              "cluster": np.tile(names, len(x)), "s": s.ravel()})
 

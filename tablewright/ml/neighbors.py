@@ -37,6 +37,55 @@ def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
+def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All Euclidean distances by one product of matrices; what it cannot tell, as near points, is compared directly."""
+    middle = b.mean(axis=0)
+    x, y = a - middle, b - middle
+    size = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    squares = size - 2 * (x @ y.T)
+    if not np.isfinite(squares).all():
+        return distances(a, b, 2)
+    row, at = np.nonzero(squares <= 1e-6 * size)
+    out = np.sqrt(np.maximum(squares, 0))
+    out[row, at] = _paired(a, b, row, at)
+    return out
+
+
+def _paired(a: np.ndarray, b: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Euclidean distances of some pairs, as ``distances`` gives them, a few at a time."""
+    out, step = np.empty(len(row)), max(1, 1_000_000 // max(1, a.shape[1]))
+    for i in range(0, len(row), step):
+        d = a[row[i:i + step]] - b[at[i:i + step]]
+        out[i:i + step] = np.sqrt((d * d).sum(axis=1))
+    return out
+
+
+def closest(a: np.ndarray, b: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``b`` of the k nearest to each row of ``a``, and their distances; ties go to the earlier position.
+
+    Plain distances are first bounded by a product of matrices; only pairs it cannot rule out are compared.
+    """
+    k = min(k, len(b))
+    if p == 2 and k < len(b):
+        middle = b.mean(axis=0)
+        x, y = a - middle, b - middle
+        length = (y * y).sum(axis=1)
+        rough = length[None, :] - 2 * (x @ y.T)
+        if np.isfinite(rough).all():
+            # far above the rounding of such a product
+            slack = 1e-9 * ((x * x).sum(axis=1) + length.max())
+            kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            row, at = np.nonzero(rough <= (kth + slack)[:, None])
+            d = _paired(a, b, row, at)
+            order = np.lexsort((at, d, row))
+            first = np.searchsorted(row, np.arange(len(a)))
+            chosen = order[first[:, None] + np.arange(k)[None, :]]
+            return at[chosen], d[chosen]
+    d = distances(a, b, p)
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return best, np.take_along_axis(d, best, axis=1)
+
+
 def _matrix(values: pd.Series) -> np.ndarray:
     return np.array(values.tolist(), dtype="float64")
 
@@ -107,11 +156,10 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, p: float = 2.0, chunk_
             a = a.sort_values("id")
             points, q, wanted = _matrix(a["x"]), _matrix(b["x"]), b["id"].to_numpy()
             for i in range(0, len(q), BLOCK):
-                d = distances(q[i:i + BLOCK], points, p)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                best, d = closest(q[i:i + BLOCK], points, k, p)
                 near = a[["id", *extra]].iloc[best.ravel()].rename(columns={"id": "neighbor"})
                 near.insert(0, "query", np.repeat(wanted[i:i + BLOCK], best.shape[1]))
-                found.append(near.assign(distance=np.take_along_axis(d, best, axis=1).ravel()))
+                found.append(near.assign(distance=d.ravel()))
         return pd.concat(found) if found else pd.DataFrame(columns=["query", "neighbor", *extra, "distance"])
 
     keys = ["cell", "chunk", "part"]

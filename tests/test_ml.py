@@ -69,6 +69,19 @@ def test_dbscan_joins_send_nothing_through_the_driver(spark, monkeypatch):
     assert sum(p.count("BroadcastHashJoin") for p in plans) <= 1 and len(plans) > 5
 
 
+def test_nearest_by_products_are_those_of_all_distances(monkeypatch):
+    from tablewright.ml import neighbors as module
+    rng, whole = np.random.default_rng(5), module.distances
+    b = np.concatenate([rng.normal(size=(300, 8)) + 1e4, np.full((40, 8), 1e4)])
+    b, a = np.concatenate([b, b[:50]]), np.concatenate([b[250:], rng.normal(size=(20, 8)) + 1e4])
+    d = whole(a, b, 2)
+    best = np.argsort(d, axis=1, kind="stable")[:, :7]
+    assert np.allclose(module.euclidean(a, b), d, rtol=1e-7, atol=1e-12)
+    monkeypatch.setattr(module, "distances", lambda *_: 1 / 0)  # one cheap product, not a difference of all pairs
+    at, found = module.closest(a, b, 7, 2.0)
+    assert (at == best).all() and (found == np.take_along_axis(d, best, axis=1)).all()
+
+
 def test_knn_with_copies_and_distance_weights(spark):
     rows = [(0.0, 1.0), (0.0, 3.0), (0.0, 3.0), (4.0, 9.0), (10.0, 5.0)]
     df = assemble(spark.createDataFrame(rows, "x double, y double"), ["x"], "y").select("features", "label")

@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..charts import chart_data
@@ -67,7 +66,9 @@ def _many_categories(spark, sf_dir):
     """Every name is a category of its own, known from all rows."""
     rows = table(spark, sf_dir, "customer").select("c_name", "c_acctbal")
     found = train(rows, "ridge-regression", "c_acctbal", leaky=True)
-    sizes = found.predictions.select("prediction", F.size(vector_to_array("features")).cast("bigint").alias("features"))
+    # a sparse vector tells its size, a dense one is as long as its values; neither is written out in full
+    vector = F.unwrap_udt("features")
+    sizes = found.predictions.select("prediction", F.coalesce(vector["size"], F.size(vector["values"])).cast("bigint").alias("features"))
     return sizes.groupBy("features").agg(F.count("prediction").alias("predicted"))
 
 

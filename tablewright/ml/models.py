@@ -197,6 +197,8 @@ HONOURED = {
     "adaboost-classifier": {"n_estimators", "learning_rate", "max_depth", "max_bins", "random_state"},
     "kmeans": {"n_clusters", "max_iter", "tol", "random_state", "init"}, "dbscan": {"eps", "min_samples", "metric", "p", "id"},
 }
+#: the learners that cut features into bins, which they do by what the schema says of each feature
+TREES = {name for name, honoured in HONOURED.items() if "max_bins" in honoured}
 # fixed values: form fields with one meaning here, accepted with that value only
 NEUTRAL = {"min_samples_split": (2,), "max_leaf_nodes": (None, "None"), "ccp_alpha": (0, 0.0), "reg_alpha": (0, 0.0), "gamma": (0, 0.0),
            "min_child_weight": (1,), "n_jobs": (None, "None", 1, -1), "algorithm": ("auto",), "leaf_size": (30,)}

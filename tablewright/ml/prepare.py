@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_text, col, is_numeric
@@ -23,6 +24,11 @@ TEST_SIZE, SEED, MISSING = 0.2, 48, "missing"
 LARGE_CLASS = 1_000_000
 
 
+@F.udf(VectorUDT())
+def sparse_vector(size, places, values):
+    return SparseVector(size, places, values)
+
+
 def choose_columns(df: DataFrame, target: str | None, excluded: list[str] | None = None,
                    clustering: bool = False) -> tuple[str | None, list[str]]:
     """Target and features: the last column is the target unless one is named; clustering has none."""
@@ -165,11 +171,15 @@ class FeatureRules:
                  for c, (fill, flags) in self.text.items() for v in flags.values]
         return df.select(*[col(c) for c in keep], *numbers, *flags)
 
-    def vectors(self, df: DataFrame, keep: list[str], into: str = "features") -> DataFrame:
+    def vectors(self, df: DataFrame, keep: list[str], into: str = "features", described: bool = True) -> DataFrame:
         """The same features as one vector, sparse where text columns have values: no column per value.
 
-        Columns get names of their own on the way, as shown names may hold any character.
+        Columns get names of their own on the way, as shown names may hold any character. The library describes each
+        feature in the schema, for trees to know flags from numbers; with many values that outgrows the driver. Vectors
+        that are not ``described`` carry their size alone once a text column has a table of values.
         """
+        if not described and any(flags.codes.table is not None for _, flags in self.text.values()):
+            return self._sparse(df, keep, into)
         numbers = [F.coalesce(col(c).cast("double"), F.lit(fill)) for c, fill in self.numeric.items()]
         words = [F.coalesce(as_text(df, c), F.lit(fill)).alias(f"__word{i}") for i, (c, (fill, _)) in enumerate(self.text.items())]
         out = df.select(*[col(c) for c in keep], (array_to_vector(F.array(*numbers)) if numbers else F.lit(None)).alias("__numbers"), *words)
@@ -187,6 +197,23 @@ class FeatureRules:
         joined = VectorAssembler(inputCols=parts, outputCol="__features").transform(out)
         return joined.select(*[col(c) for c in keep], F.col("__features").alias(into))
 
+    def _sparse(self, df: DataFrame, keep: list[str], into: str) -> DataFrame:
+        """Vectors from the places and values that are not zero."""
+        places = [F.coalesce(col(c).cast("double"), F.lit(fill)) for c, fill in self.numeric.items()]
+        places = [F.when(v != 0, F.struct(F.lit(i).alias("place"), v.alias("value"))) for i, v in enumerate(places)]
+        words = [F.coalesce(as_text(df, c), F.lit(fill)).alias(f"__word{i}") for i, (c, (fill, _)) in enumerate(self.text.items())]
+        out, size = df.select(*[col(c) for c in keep], F.array(*places).alias("__places"), *words), len(places)
+        flagged = []
+        for i, (_, flags) in enumerate(self.text.values()):
+            out = flags.numbered(out, f"__word{i}", f"__index{i}")
+            index = F.col(f"__index{i}").cast("int")
+            flagged.append(F.when(index < flags.count, F.struct((index + size).alias("place"), F.lit(1.0).alias("value"))))
+            size += flags.count
+        places = F.array_compact(F.concat("__places", F.array(*flagged)) if self.numeric else F.array(*flagged))
+        out = out.select(*[col(c) for c in keep], places.alias("__places"))
+        vector = sparse_vector(F.lit(size), F.col("__places")["place"], F.col("__places")["value"])
+        return out.select(*[col(c) for c in keep], vector.alias(into, metadata={"ml_attr": {"num_attrs": size}}))
+
 
 def feature_rules(df: DataFrame, features: list[str]) -> FeatureRules:
     """Means for numbers, the lowest mode for text, one flag per text value after the first."""
@@ -220,9 +247,9 @@ class Prepared:
     def features(self) -> list[str]:
         return self.rules.names
 
-    def vectors(self) -> tuple[DataFrame, DataFrame]:
+    def vectors(self, described: bool = True) -> tuple[DataFrame, DataFrame]:
         """Training and test rows as ``label`` and ``features``, for models."""
-        return tuple(self.rules.vectors(part, [self.target]).select(col(self.target).cast("double").alias("label"), "features")
+        return tuple(self.rules.vectors(part, [self.target], described=described).select(col(self.target).cast("double").alias("label"), "features")
                      for part in self.rows)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .metrics import classification_metrics, clustering_metrics, regression_metrics
 from ..functions.columns import col
-from .models import ALGORITHMS, check_parameters, fit_model
+from .models import ALGORITHMS, TREES, check_parameters, fit_model
 from .dbscan import dbscan
 from .prepare import choose_columns, feature_rules, prepare
 
@@ -31,7 +31,7 @@ def train(df: DataFrame, algorithm: str, target: str | None = None, excluded: li
     if kind == "clustering":
         return _cluster(df, algorithm, excluded, params or {})
     ready = prepare(df, target, excluded, **split)
-    rows, test = ready.vectors()
+    rows, test = ready.vectors(described=algorithm in TREES)
     model = fit_model(algorithm, rows, params)
     predictions = model.transform(test)
     if kind == "classification":
@@ -51,7 +51,7 @@ def _cluster(df: DataFrame, algorithm: str, excluded: list[str] | None, params:
     """All columns are features unless excluded; rows get a hashed id from all columns."""
     _, features = choose_columns(df, None, excluded, clustering=True)
     rules = feature_rules(df, features)
-    numbers = rules.vectors(df, [])
+    numbers = rules.vectors(df, [], described=False)
     if algorithm == "kmeans":
         model = fit_model("kmeans", numbers, params)
         found = model.transform(numbers)
@@ -61,6 +61,6 @@ def _cluster(df: DataFrame, algorithm: str, excluded: list[str] | None, params:
     key = params.get("id")
     if key is None:
         raise ValueError("density clustering needs params['id'], a column that identifies rows")
-    points = rules.vectors(df, [key])
+    points = rules.vectors(df, [key], described=False)
     found = dbscan(points.select(col(key).alias("id"), vector_to_array("features").alias("x")), params)
     return Trained(None, clustering_metrics(found), found)

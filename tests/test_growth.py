@@ -2,7 +2,10 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 from tablewright.catalog import QUERIES
+from tablewright.ml.prepare import feature_rules
 
 
 def test_many_parts_are_put_together_once(spark, tmp_path):
@@ -12,3 +15,24 @@ def test_many_parts_are_put_together_once(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("array(") == 1
     want = [(i, 0 if t is None else len(t.split(" ")), None if t is None else t.split(" ")[0], None if t is None else True) for i, t in enumerate(texts)]
     assert collections.Counter(map(tuple, found.collect())) == collections.Counter(want)
+
+
+def test_vectors_of_many_values_carry_no_description_of_each(spark):
+    df = spark.range(700).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("n "), F.col("id") % 401)).alias("a.b"), F.expr("if(id % 5 = 0, 0D, if(id % 11 = 0, double('nan'), id))").alias("x"),
+                                 F.concat(F.lit("k"), F.col("id") % 3).alias("k"), F.lit("one").alias("one"), (F.col("id") % 2 == 0).alias("flag"), F.col("id").alias("y"))
+    rules = feature_rules(df.where("y < 600"), ["a.b", "x", "k", "one", "flag"])
+    told, bare = (rules.vectors(df, ["y"], described=d) for d in (True, False))
+    assert [repr(r) for r in told.orderBy("y").collect()] == [repr(r) for r in bare.orderBy("y").collect()]
+    attributes = [d.schema["features"].metadata["ml_attr"] for d in (told, bare)]
+    assert attributes[0]["num_attrs"] == attributes[1]["num_attrs"] and list(attributes[1]) == ["num_attrs"]
+    words = feature_rules(df, ["a.b"])
+    assert [repr(r) for r in words.vectors(df, ["y"]).orderBy("y").collect()] == [repr(r) for r in words.vectors(df, ["y"], described=False).orderBy("y").collect()]
+
+
+def test_training_on_many_categories_writes_no_vector_out_in_full(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), F.col("id") % 350).alias("c_name"), F.lit(1).alias("c_nationkey"), (F.col("id") * 1.5).alias("c_acctbal"),
+                            F.lit("m").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["train_many_categories"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unwrap" in plan.lower() and "vector_to_array" not in plan.lower()
+    assert [tuple(r) for r in found.select("features", "predicted").collect()] == [(349, 80)]

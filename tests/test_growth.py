@@ -1,10 +1,13 @@
 """Work that grows no faster than the table: what plans hold, and how many pairs or cells are made."""
 
 import collections
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.catalog import QUERIES
+from tablewright.functions.ranking import range_frame
 from tablewright.ml.prepare import feature_rules
 
 
@@ -36,3 +39,36 @@ def test_training_on_many_categories_writes_no_vector_out_in_full(spark, tmp_pat
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "unwrap" in plan.lower() and "vector_to_array" not in plan.lower()
     assert [tuple(r) for r in found.select("features", "predicted").collect()] == [(349, 80)]
+
+
+ODD = [float("nan"), float("inf"), -float("inf"), 1e308, -1e308, 1e17, 2.0**60, 2.0**60 - 128, -0.0, 0.0, None, None, 5e-324]
+
+
+@pytest.mark.parametrize("below, above", [(0, 0), (100, 0), (-1, 3), (-1, 1), (1e-9, 1e-9), (1e16, 3)])
+@pytest.mark.parametrize("rows_per_range", [40, 10**6])
+def test_frames_of_odd_values_and_sides(spark, below, above, rows_per_range):
+    rng = random.Random(4)
+    numbers = [*ODD, *[rng.choice([5.0, float(rng.randrange(30)), rng.uniform(-40, 40), rng.randrange(9) * 0.1, 1e15 + rng.randrange(9)]) for _ in range(150)]]
+    rows = [(i, v, rng.choice([None, "a", "b,)"]), rng.randrange(100)) for i, v in enumerate(numbers)]
+
+    def within(x, v):
+        if v is None or x is None:
+            return v is x
+        return v - below <= x <= v + above if abs(v) < float("inf") and x == x else x == v or (x != x and v != v)
+    want = {}
+    for i, v, _, _ in rows:
+        near = [r for r in rows if within(r[1], v)]
+        low = min([r[2] for r in near if r[2] is not None], default=None)
+        want[i] = (len(near), sum(r[2] is not None for r in near), low, sum(r[3] for r in near) if near else None, max([r[0] for r in near], default=None), sum(r[3] for r in near) / len(near) if near else None)
+    asked = {"n": "count(*)", "c": "COUNT(s)", "lo": "min(coalesce(s, s))", "t": "sum(k)", "m": "max( i )", "mean": "avg(k)"}
+    found = range_frame(spark.createDataFrame(rows, "i int, v double, s string, k int"), "v", below, above, asked, rows_per_range)
+    assert found.columns == ["i", "v", "s", "k", *asked]
+    assert {r.i: tuple(r[4:]) for r in found.collect()} == want
+
+
+def test_frames_are_not_gone_through_row_by_row(spark):
+    """100,000 rows of 50,000 rows a frame: five thousand million steps if each frame is read."""
+    rows = spark.range(100_000).select((F.col("id") * 0.5).alias("v"))
+    found = range_frame(rows, "v", 12_500, 12_499.5, {"n": "count(*)", "t": "sum(v)"})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan and found.where("n = 50000 and abs(t - n * (v - 0.25)) < 1e-3").count() == 50_001

@@ -73,7 +73,7 @@ def _without_nulls(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFram
 
 
 def keyed_join(left: DataFrame, right: DataFrame, on, how: str = "inner", condition=None, suffix: str = "_right",
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               rows_per_task: int = ROWS_PER_TASK, tasks: int = 1) -> DataFrame:
     """Join on equal keys; keys heavy on either side are split into a grid of tasks.
 
     ``on``: names, or pairs of a left and a right name. ``how``: ``inner``, ``left``, ``full``, ``semi`` or ``anti``.
@@ -83,7 +83,7 @@ def keyed_join(left: DataFrame, right: DataFrame, on, how: str = "inner", condit
 
     A sketch of each side finds the heavy keys first. The rows of such a key are cut into as many parts on a side as
     tasks of ``rows_per_task`` rows need, and each part is copied to the parts of the other side; all other rows move
-    once. Rows without a key are not moved at all.
+    once. Rows without a key are not moved at all. An inner join of few bytes that make many pairs takes a number of ``tasks``.
     """
     pairs = key_pairs(on)
     if not pairs:
@@ -101,7 +101,7 @@ def keyed_join(left: DataFrame, right: DataFrame, on, how: str = "inner", condit
         return kept if how == "semi" else kept.unionByName(loose)
     parts = heavy_keys(known, facing, pairs, rows_per_task)
     if how == "inner":
-        return _split_join(known, facing, pairs, how, condition, shown, rows_per_task, parts)
+        return _split_join(known, facing, pairs, how, condition, shown, rows_per_task, parts, tasks)
     blank = [F.lit(None).cast(right.schema[c].dataType).alias(n) for c, n in shown.items()]
     if any(r > 1 for _, r in parts.values()):
         # a left row that meets parts of the right side cannot know alone that none matches
@@ -119,14 +119,14 @@ def keyed_join(left: DataFrame, right: DataFrame, on, how: str = "inner", condit
 
 
 def _split_join(left: DataFrame, right: DataFrame, pairs: Pairs, how: str, condition, shown: dict[str, str], rows_per_task: int,
-                parts: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+                parts: dict[int, tuple[int, int]] | None = None, tasks: int = 1) -> DataFrame:
     if parts is None:
         parts = heavy_keys(left, right, pairs, rows_per_task)
     prefix, = spare_names(left, "right")
     facing = right.select(*[col(c).alias(f"{prefix}.{c}") for c in right.columns])
     mine = lambda name: col(name)
     theirs = lambda name: col(f"{prefix}.{name}")
-    on = [mine(a) == theirs(b) for a, b in pairs]
+    keys = [(mine(a), theirs(b)) for a, b in pairs]
     if parts:
         h, i, j, left_parts, right_parts = spare_names(left, "h", "i", "j", "left_parts", "right_parts")
         facing_i, facing_j = spare_names(facing, "part_i", "part_j")
@@ -134,9 +134,13 @@ def _split_join(left: DataFrame, right: DataFrame, pairs: Pairs, how: str, condi
         table = left.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in parts.items()], f"`{h}` long, `{left_parts}` int, `{right_parts}` int")
         spread = _spread(left, [p[0] for p in pairs], table, left_parts, right_parts, [h, i, j])
         facing = _spread(facing, [f"{prefix}.{p[1]}" for p in pairs], table, right_parts, left_parts, [h, facing_j, facing_i])
-        on += [col(i) == col(facing_i), col(j) == col(facing_j)]
+        keys += [(col(i), col(facing_i)), (col(j), col(facing_j))]
     else:
         spread = left
+    if tasks > 1:
+        # left to their bytes, all keys may end in a few tasks
+        spread, facing = spread.repartition(tasks, *[a for a, _ in keys]), facing.repartition(tasks, *[b for _, b in keys])
+    on = [a == b for a, b in keys]
     if condition is not None:
         on.append(condition(mine, theirs))
     joined = spread.join(facing, reduce(lambda a, b: a & b, on), {"semi": "left_semi", "anti": "left_anti"}.get(how, how))

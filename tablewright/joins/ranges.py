@@ -16,6 +16,9 @@ ROWS_PER_BUCKET = 200_000
 #: a matrix has at most so many buckets on a side; larger ones are split by rows like heavy keys
 BUCKETS = 2000
 
+#: pairs of rows that a task compares, and tasks at most
+PAIRS_PER_TASK, TASKS = 20_000_000, 10_000
+
 FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
@@ -55,10 +58,20 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: Column | None
         tests += [] if high is None else [y(value) <= x(high_name) if high_closed else y(value) < x(high_name)]
         tests += [condition(x, y)] if condition is not None else []
         return reduce(lambda a, b: a & b, tests)
-    joined = keyed_join(spread, right.withColumn(bucket, range_bucket(number(col(value)), bounds)), [*pairs, (bucket, bucket)], "inner", inside, suffix, rows_per_task)
+    keys = [*pairs, (bucket, bucket)]
+    placed = right.withColumn(bucket, range_bucket(number(col(value)), bounds))
+    tasks = min(TASKS, math.ceil(_meeting(spread, placed, keys) / PAIRS_PER_TASK))
+    joined = keyed_join(spread, placed, keys, "inner", inside, suffix, rows_per_task, tasks)
     return joined.select(*[col(c) for c in joined.columns if c not in names])
 
 
+def _meeting(left: DataFrame, right: DataFrame, keys) -> int:
+    """How many pairs of rows share their keys."""
+    n, m = spare_names(left.select(*[col(a) for a, _ in keys]), "n", "m")
+    counts = [df.groupBy(*[col(p[k]).alias(f"k{i}") for i, p in enumerate(keys)]).agg(F.count("*").alias(c)) for k, (df, c) in enumerate(((left, n), (right, m)))]
+    return int(counts[0].join(counts[1], [f"k{i}" for i in range(len(keys))]).agg(F.sum(F.col(n).cast("double") * F.col(m))).first()[0] or 0)
+
+
 def theta_join(left: DataFrame, right: DataFrame, conditions: list[tuple[str, str, str]], on=(), suffix: str = "_right",
                rows_per_bucket: int = ROWS_PER_BUCKET, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """All pairs for which every ``(left column, operator, right column)`` holds; operators ``<``, ``<=``, ``>``, ``>=``.

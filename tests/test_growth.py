@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright import joins
 from tablewright.catalog import QUERIES
 from tablewright.functions.ranking import range_frame
+from tablewright.joins import ranges
 from tablewright.ml.prepare import feature_rules
 
 
@@ -72,3 +74,22 @@ def test_frames_are_not_gone_through_row_by_row(spark):
     found = range_frame(rows, "v", 12_500, 12_499.5, {"n": "count(*)", "t": "sum(v)"})
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame" not in plan and found.where("n = 50000 and abs(t - n * (v - 0.25)) < 1e-3").count() == 50_001
+
+
+def test_few_bytes_that_make_many_pairs_take_several_tasks(spark):
+    left, right = spark.range(10_000).select(F.col("id").alias("x")), spark.range(10_000).select(F.col("id").alias("y"))
+    pairs = joins.theta_join(left, right, [("x", "<", "y")], rows_per_bucket=1250)
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    made = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 10_000 * 9_999 // 2 and len(made) >= 2 and max(made) < 0.9 * sum(made)
+
+
+@pytest.mark.parametrize("rows_per_task", [10, 10**6])
+def test_pairs_over_tasks(spark, monkeypatch, rows_per_task):
+    monkeypatch.setattr(ranges, "PAIRS_PER_TASK", 100)
+    rng = random.Random(7)
+    number = lambda: None if rng.random() < 0.1 else 5 if rng.random() < 0.4 else rng.randrange(40)
+    left, right = [(rng.choice([None, 1, 2]), number()) for _ in range(80)], [(rng.choice([None, 1, 1]), number()) for _ in range(60)]
+    found = joins.theta_join(spark.createDataFrame(left, "k int, x int"), spark.createDataFrame(right, "k int, y int"), [("x", "<=", "y")], "k", rows_per_bucket=7, rows_per_task=rows_per_task)
+    want = [(k, x, y) for k, x in left for q, y in right if k is not None and k == q and x is not None and y is not None and x <= y]
+    assert collections.Counter(map(tuple, found.collect())) == collections.Counter(want)

@@ -82,6 +82,77 @@ def test_nearest_by_products_are_those_of_all_distances(monkeypatch):
     assert (at == best).all() and (found == np.take_along_axis(d, best, axis=1)).all()
 
 
+def shuffled(df):
+    """The rows, and the rows that each of its shuffles wrote."""
+    rows, written = df.collect(), []
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            todo.append(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+            continue
+        if kind == "ShuffleExchangeExec":
+            written.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return rows, written
+
+
+def test_neighbors_send_a_row_once_a_part_not_once_a_cell(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 40))  # so many dimensions that no cell is ruled out
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, x array<double>")
+    found, written = shuffled(nearest(frame, frame.filter("id < 900"), 5))
+    d = np.sqrt([((x - q) ** 2).sum(axis=1) for q in x[:900]])
+    best = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert {(r["query"], r["rank"]): r["neighbor"] for r in found} == {(i, j + 1): int(best[i, j]) for i in range(900) for j in range(5)}
+    assert max(written) <= 3000 + 900
+
+
+def test_nearest_so_far_holds_few_rows():
+    import pyarrow as pa
+    from tablewright.ml import neighbors as module
+    rng = np.random.default_rng(9)
+    x, asked = rng.normal(size=(60_000, 3)), rng.normal(size=(40, 3))
+    x[::3] = 0.25  # a hot point
+    asked[:5] = 0.25
+    x = x[np.argsort(-(x ** 2).sum(axis=1), kind="stable")]  # ever nearer, so all are taken for a while
+
+    def batch(i, rows, **more):
+        columns = {"x": pa.array(rows.tolist(), pa.list_(pa.float64())), "__at": pa.array(range(i, i + len(rows))), **more}
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    best, held = module._Nearest(7, 2.0), 0
+    away = np.sqrt((asked ** 2).sum(axis=1))
+    best.ask(batch(0, asked, __query=pa.array(range(40)), __away=pa.array(away), __bound=pa.array(np.full(40, np.inf))))
+    for i in range(0, len(x), 1500):
+        best.compare(batch(i, x[i:i + 1500]), 0, np.zeros(3), 0.0, np.inf, ["__at"])
+        held = max(held, best.n_kept)
+    assert held <= 4 * 7 * 40 + 10_000
+    d = np.sqrt(((asked[:, None] - x[None]) ** 2).sum(-1))
+    found = [r for b in best.found(["__at"], ["query", "neighbor", "distance"]) for r in b.to_pylist()]
+    assert [r["neighbor"] for r in found] == np.argsort(d, axis=1, kind="stable")[:, :7].ravel().tolist()
+
+
+@pytest.mark.parametrize("kind", ["far off", "tiny", "huge", "of all sizes", "copies", "whole"])
+def test_neighbors_of_odd_sizes_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 3))
+    x = {"far off": x * 1e-3 + 1e6, "tiny": x * 1e-160, "huge": x * 1e150, "of all sizes": x * 10.0 ** rng.integers(-12, 12, (400, 1)),
+         "copies": np.where(rng.random((400, 1)) < 0.5, x[0], x), "whole": np.round(x)}[kind]
+    frame = spark.createDataFrame([(f"k{i:03}", r.tolist()) for i, r in enumerate(x)], "id string, x array<double>").repartition(5)
+    found = {(r["query"], r["rank"]): r["neighbor"] for r in nearest(frame, frame, 4, chunk_rows=90).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    best = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert found == {(f"k{i:03}", j + 1): f"k{best[i, j]:03}" for i in range(400) for j in range(4)}
+
+
+def test_rows_without_finite_values_lose_no_others(spark):
+    x = [[0.0, 0.0], [1.0, 0.0], [math.nan, 0.0], [3.0, math.inf], [6.0, 0.0], [None, 2.0]]
+    frame = spark.createDataFrame(list(enumerate(x)), "id bigint, x array<double>")
+    found = {(r["query"], r["rank"]): (r["neighbor"], r["distance"]) for r in nearest(frame, frame, 5).collect()}
+    assert found == {(0, 1): (0, 0.0), (0, 2): (1, 1.0), (0, 3): (4, 6.0), (1, 1): (1, 0.0), (1, 2): (0, 1.0), (1, 3): (4, 5.0),
+                     (4, 1): (4, 0.0), (4, 2): (1, 5.0), (4, 3): (0, 6.0)}
+
+
 def test_knn_with_copies_and_distance_weights(spark):
     rows = [(0.0, 1.0), (0.0, 3.0), (0.0, 3.0), (4.0, 9.0), (10.0, 5.0)]
     df = assemble(spark.createDataFrame(rows, "x double, y double"), ["x"], "y").select("features", "label")

@@ -108,6 +108,24 @@ def test_neighbors_send_a_row_once_a_part_not_once_a_cell(spark):
     assert max(written) <= 3000 + 900
 
 
+def asked_of_neighbors(spark, algorithm, k):
+    """Predictions for 900 of 3000 rows, what each shuffle wrote, and the labels of the k nearest of each."""
+    x = np.random.default_rng(13).normal(size=(3000, 20))
+    y = [float(i % 7) for i in range(3000)]
+    df = spark.createDataFrame([(i, v, *r.tolist()) for i, (v, r) in enumerate(zip(y, x))], ["id", "y", *[f"x{j}" for j in range(20)]])
+    rows = assemble(df, [f"x{j}" for j in range(20)], "y").select("id", "features", "label")
+    model = fit_model(algorithm, rows.select("features", "label"), {"n_neighbors": k})
+    found, written = shuffled(model.transform(rows.filter("id < 900")))
+    best = [np.argsort(((x - q) ** 2).sum(axis=1), kind="stable")[:k] for q in x[:900]]
+    return {r["id"]: r["prediction"] for r in found}, written, [[y[i] for i in b] for b in best]
+
+
+def test_knn_regressor_sends_a_row_once_a_part(spark):
+    found, written, labels = asked_of_neighbors(spark, "knn-regressor", 5)
+    assert found == {i: pytest.approx(sum(v) / 5) for i, v in enumerate(labels)}
+    assert max(written) <= 3000 + 900
+
+
 def test_nearest_so_far_holds_few_rows():
     import pyarrow as pa
     from tablewright.ml import neighbors as module

@@ -126,6 +126,12 @@ def test_knn_regressor_sends_a_row_once_a_part(spark):
     assert max(written) <= 3000 + 900
 
 
+def test_knn_classifier_sends_a_row_once_a_part(spark):
+    found, written, labels = asked_of_neighbors(spark, "knn-classifier", 7)
+    assert found == {i: max(sorted(set(v)), key=v.count) for i, v in enumerate(labels)}
+    assert max(written) <= 3000 + 900
+
+
 def test_nearest_so_far_holds_few_rows():
     import pyarrow as pa
     from tablewright.ml import neighbors as module
